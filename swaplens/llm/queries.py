@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swaplens.llm import percentiles, tokenizer
+from swaplens.llm import leakage, percentiles, spam, tokenizer
 from swaplens.sources.tables import cut_lineage, read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,12 +48,43 @@ def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.decode_column(ids, "doc_id", "ids", tokenizer.vocabulary_path())
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"), factor=2)
+    return leakage.candidates(docs, "doc_id", "text", read_table(spark, sf_dir, "eval_items"), "item_id", "text", "answer")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked(_leaks(spark, sf_dir))
+
+
+def p9_item_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per evaluation item: how many documents it leaked into."""
+    evals = read_table(spark, sf_dir, "eval_items").select("item_id", "suite")
+    counts = leakage.leaked(_leaks(spark, sf_dir)).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
+    return evals.join(counts, "item_id", "left").select("item_id", "suite", F.coalesce("documents", F.lit(0)).alias("documents"))
+
+
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: the share of its words in prose, data, links, tags, menus and keywords."""
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    pages = cut_lineage(spam.page_units(docs, "doc_id", "text"))
+    return spam.page_shares(pages, spam.train(pages))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_shares(spark, sf_dir).where("spam_share > 0.5").select("doc_id")
+
+
 QUERIES: dict[str, Query] = {
     "p2_percentiles": p2_percentiles,
     "p2_day_sketches": p2_day_sketches,
     "p2_measured": p2_measured,
     "p8_ids": p8_ids,
     "p8_roundtrip": p8_roundtrip,
+    "p9_found": p9_found,
+    "p9_item_report": p9_item_report,
+    "p10_found": p10_found,
+    "p10_shares": p10_shares,
 }
 
 ORACLES: dict[str, str] = {
