@@ -19,11 +19,11 @@ Percentile p is the smallest value whose rank is at least p/100 of n.
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -226,26 +226,34 @@ def day_sketches(df: DataFrame, value: str, groups: tuple[str, str] = ("baseline
     return cells.mapInArrow(per_task, SKETCHES)
 
 
-def merge_sketches(sketches: DataFrame, by_day: bool, salts: int = 8) -> DataFrame:
-    """One sketch per group and day (or per group): two steps, so that no task gets all parts of a hot group."""
-    keys = ["baseline_model", "target_model"] + ["run_day"] * by_day
-
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        whole: RankSketch | None = None
-        for data in frame["sketch"]:
-            part = RankSketch.from_bytes(data)
-            if whole is None:
-                whole = part
-            else:
-                whole.merge(part)
-        first = frame.iloc[0]
-        return pd.DataFrame([[first["baseline_model"], first["target_model"], first["run_day"] if by_day else None, whole.n, whole.nulls, whole.to_bytes()]], columns=_NAMES)
+def merge_sketches(sketches: DataFrame, by_day: bool, parts: int | None = None) -> DataFrame:
+    """One sketch per group and day (or per group).
 
+    Keys are hashed to tasks, each of which merges the sketches that reach it one by one, so its memory is one
+    sketch a key. With many input tasks a salted step comes first: a hot group, which has a sketch from every task,
+    then reaches its last task as a few."""
+    keys = ["baseline_model", "target_model"] + ["run_day"] * by_day
     if not by_day:
         sketches = sketches.withColumn("run_day", F.lit(None).cast("date"))
-    salted = sketches.withColumn("salt", F.pmod(F.xxhash64("sketch"), F.lit(salts)))
-    once = salted.groupBy(*keys, "salt").applyInPandas(merge, SKETCHES)
-    return once.groupBy(*keys).applyInPandas(merge, SKETCHES)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple, RankSketch] = {}
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in (0, 1, 2, 5)]
+            for *key, data in zip(*columns, strict=True):
+                part = RankSketch.from_bytes(data)
+                if (whole := found.get(tuple(key))) is None:
+                    found[tuple(key)] = part
+                else:
+                    whole.merge(part)
+        rows = [(*key, s.n, s.nulls, s.to_bytes()) for key, s in found.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(_TYPES)], _NAMES)
+
+    parts = sketches.rdd.getNumPartitions() if parts is None else parts
+    if parts > 64:
+        salt = F.pmod(F.spark_partition_id(), F.lit(math.isqrt(parts)))
+        sketches = sketches.withColumn("salt", salt).repartition(*keys, "salt").drop("salt").mapInArrow(merge, SKETCHES)
+    return sketches.repartition(*keys).mapInArrow(merge, SKETCHES)
 
 
 def percentiles_of(sketches: DataFrame, percents: tuple[int, ...] = (50, 90, 95, 99)) -> DataFrame:
