@@ -7,12 +7,65 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swaplens.llm import leakage, percentiles, spam, tokenizer
+from swaplens.llm import broken_pairs, leakage, percentiles, pii, spam, tokenizer, truncation
 from swaplens.sources.tables import cut_lineage, read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _judged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spread(read_table(spark, sf_dir, "row_results").select("row_id", "status", "prompt_text", "baseline_text", "target_text", "baseline_tool_calls", "target_tool_calls"))
+    lexicon = pii.name_lexicon(rows, ["prompt_text", "baseline_text", "target_text"])
+    facts = broken_pairs.pair_facts(rows, lexicon)
+    answers = rows.where("status = 'ok'").select(F.explode(F.array("baseline_text", "target_text")).alias("text"))
+    return broken_pairs.defective_pairs(facts, truncation.ending_contexts(answers, "text"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged_pairs(spark, sf_dir)
+
+
+def p1_defect_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per category and side: how many answers have which defect."""
+    rows = read_table(spark, sf_dir, "row_results").select("row_id", F.coalesce("category", F.lit("(uncategorized)")).alias("category"))
+    return _judged_pairs(spark, sf_dir).join(rows, "row_id").groupBy("category", "side", "defect").agg(F.count(F.lit(1)).alias("answers"))
+
+
+def _cut_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    responses = spread(read_table(spark, sf_dir, "decoded_responses").select("response_id", "source", "text"))
+    facts = cut_lineage(truncation.endings(responses, "response_id", "source", "text"))
+    return truncation.cut_records(facts, truncation.ending_contexts(responses, "text"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cut_facts(spark, sf_dir).where("cut").select("response_id")
+
+
+def p4_source_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source: records, cut records and their share."""
+    responses = read_table(spark, sf_dir, "decoded_responses").select("source")
+    return truncation.source_report(responses, "source", _cut_facts(spark, sf_dir))
+
+
+def p4_length_hazards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lengths (characters) at which sources end texts more often than at the lengths around."""
+    responses = spread(read_table(spark, sf_dir, "decoded_responses").select("response_id", "source", "text"))
+    return truncation.length_hazards(truncation.endings(responses, "response_id", "source", "text"), "chars").where("significant")
+
+
+_PII_FIELDS = ["prompt_text", "baseline_text"]
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of the two fields with typed placeholders, and the kinds found in it."""
+    rows = spread(read_table(spark, sf_dir, "row_results").select("row_id", *_PII_FIELDS))
+    return pii.scan(rows, "row_id", _PII_FIELDS, pii.name_lexicon(rows, _PII_FIELDS))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_redacted(spark, sf_dir).select("row_id", "field", F.explode("kinds").alias("kind"))
+
+
 def _latency_day_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "row_latencies")
     return percentiles.merge_sketches(percentiles.day_sketches(rows, "baseline_latency_s"), by_day=True)
@@ -76,6 +129,13 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_defect_shares": p1_defect_shares,
+    "p4_found": p4_found,
+    "p4_source_report": p4_source_report,
+    "p4_length_hazards": p4_length_hazards,
+    "p6_found": p6_found,
+    "p6_redacted": p6_redacted,
     "p2_percentiles": p2_percentiles,
     "p2_day_sketches": p2_day_sketches,
     "p2_measured": p2_measured,

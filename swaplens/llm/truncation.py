@@ -34,6 +34,8 @@ WORD = 64
 #: Marks put after a cut.
 _MARK = re.compile(r"\s*(?:…|\.\.\.+|[\[(<]\s*(?:\.\.\.|…|cut|cut off|more|truncated|continued|read more|snip)\s*[\])>])\s*$", re.I)
 _STOP = regex.compile(r"""[.!?。！？।؟][\p{Pf}\p{Pi}\p{Pe}"'*_`~]*$""")
+#: What may stand after a complete text: references, hashtags, rules, links, a signature line, pictographs.
+_AFTER = regex.compile(r"""(?:\s*(?:\[\d+\]|(?:^|(?<=\s))\(\d+\)|(?:^|(?<=\s))\#\w+|\*\s?\*\s?\*|-{3,}|_{3,}|(?:^|(?<=\s))https?://\S+|\n+\s*[—–-]{1,2}\s?\p{Lu}[\p{L}. ]{1,30}|[\p{So}\p{Sk}\uFE0F\u200D]+))+\s*$""")
 _LIST_MARK = re.compile(r"^\s*(?:[-*•+]|\d+[.)])\s+")
 FACTS = "response_id long, source string, state string, marked boolean, before string, last string, chars int, bytes int"
 
@@ -54,6 +56,8 @@ def _structure(text: str) -> str:
     tail = re.search(r'(?:^|\n)([\[{]\s*["{\[][\s\S]*)$', body)
     if tail and ('":' in tail[1] or '"' in tail[1][:3]):
         return "whole" if parse(tail[1].strip()) is not MISSING else "open"
+    if body.endswith("}") and (at := re.search(r'(?<=\s)\{\s*"', body)):
+        return "whole" if parse(body[at.start() :]) is not MISSING else "none"
     return "none"
 
 
@@ -75,6 +79,9 @@ def ending(text: str) -> tuple[str, bool, str, str]:
         return ("broken" if structure == "open" else "complete"), bool(cut), "", ""
     if not rest or _STOP.search(rest):
         return "complete", bool(cut), "", ""
+    before_after = _AFTER.sub("", rest)
+    if before_after != rest and (not before_after or _STOP.search(before_after)):
+        return "complete", bool(cut), "", ""
     words = context_words(rest.rsplit("\n", 1)[-1])
     if "\n" not in rest and words[0] == "<p>":
         words[0] = "<s>"
@@ -162,18 +169,23 @@ def cut_records(facts: DataFrame, contexts: DataFrame, least: float = 0.35, leas
     for unit, found in zip(("chars", "bytes"), limits, strict=True):
         out = out.join(found, F.col("source").eqNullSafe(F.col(f"s_{unit}")) & (F.col(unit) == F.col(f"l_{unit}")), "left")
     out = out.withColumn("at_limit", F.col("l_chars").isNotNull() | F.col("l_bytes").isNotNull()).drop("s_chars", "l_chars", "s_bytes", "l_bytes")
-    wanted = out.where("state = 'open'").select("before", "last").distinct()
+    out = with_chance(out, contexts)
+    open_cut = (F.col("state") == "open") & (F.col("chance") < F.when(F.col("at_limit"), least_at_limit).otherwise(least))
+    cut = (F.col("state") == "broken") | open_cut | (F.col("marked") & F.col("at_limit"))
+    return out.withColumn("cut", F.coalesce(cut, F.lit(False)))
+
+
+def with_chance(facts: DataFrame, contexts: DataFrame) -> DataFrame:
+    """``facts`` (with state, marked, at_limit, before, last) and the ``chance`` that an open ending is complete."""
+    wanted = facts.where("state = 'open'").select("before", "last").distinct()
     known = contexts.join(wanted, ["before", "last"], "left_semi")
-    out = out.join(known, ["before", "last"], "left")
+    out = facts.join(known, ["before", "last"], "left")
     ends, goes_on = F.coalesce("ends", F.lit(0)), F.coalesce("goes_on", F.lit(0))
     short = (F.col("before") == "<s>") & (F.col("last") != "")
     others = F.greatest(ends - 1, F.lit(0))
     unseen = F.when(short & ~F.col("marked") & ~F.col("at_limit"), 0.9).otherwise(0.1)
     chance = F.when(others + goes_on == 0, unseen).otherwise(others / (others + goes_on))
-    out = out.withColumn("chance", F.when(F.col("state") == "open", F.when(F.col("last") == "", 0.0).otherwise(chance)))
-    open_cut = (F.col("state") == "open") & (F.col("chance") < F.when(F.col("at_limit"), least_at_limit).otherwise(least))
-    cut = (F.col("state") == "broken") | open_cut | (F.col("marked") & F.col("at_limit"))
-    return out.withColumn("cut", F.coalesce(cut, F.lit(False)))
+    return out.withColumn("chance", F.when(F.col("state") == "open", F.when(F.col("last") == "", 0.0).otherwise(chance)))
 
 
 def source_report(df: DataFrame, source: str, cuts: DataFrame) -> DataFrame:
