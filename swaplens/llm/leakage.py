@@ -39,6 +39,8 @@ STEP = 5
 RANK = 192
 #: A candidate window has at least this share of its words in the item: a bound on what can be aligned.
 OVERLAP = 0.6
+#: And at least this share of its TF-IDF weight: what a passage shares with its like is common words.
+WEIGHT = 0.45
 BUCKETS = 1 << 18
 BLOCK = 20_000
 #: A word in more than this share of documents has no weight.
@@ -391,6 +393,10 @@ def search(docs: DataFrame, doc_id: str, text: str, items: Items, cosine: float
                     own = np.minimum(part[row][:, None] + np.arange(WORDS), len(codes) - 1)
                     shared = items.members[items.owner[column][:, None], codes[own]].sum(1)
                     kept = shared >= np.minimum(OVERLAP * WORDS, 0.85 * items.sizes[items.owner[column]])
+                    row, column, own = row[kept], column[kept], own[kept]
+                    inside = items.members[items.owner[column][:, None], codes[own]]
+                    squares = weights[own] ** 2
+                    kept = (squares * inside).sum(1) >= WEIGHT * squares.sum(1)
                     row, column = row[kept], column[kept]
                     for s, k, c in zip(part[row].tolist(), items.owner[column].tolist(), likeness[row, column].tolist(), strict=True):
                         spots.setdefault(k, []).append(s)
