@@ -9,8 +9,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def stream_table(spark: SparkSession, folder: str, schema: T.StructType, files_per_trigger: int = 200) -> DataFrame:
-    """New Parquet files of a folder as a stream."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    """New Parquet files of a folder as a stream; a single file is the one file of its folder."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
+        return reader.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
+    return reader.parquet(folder)
 
 
 def keep_newest(stream: DataFrame, key: str, version: str, path: str, checkpoint: str) -> StreamingQuery:
