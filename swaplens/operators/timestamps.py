@@ -16,6 +16,8 @@ instant; one that is skipped takes the offset before the change.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +54,12 @@ def _clean(text: Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"(?U)[\s​﻿]+", " "))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over one evaluation of ``value``. A lambda variable is not inlined when a plan is rewritten, so
+    expressions that use their input many times stay small."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _int(text: Column) -> Column:
     return F.when(text != "", text).try_cast("int")
 
@@ -62,57 +70,73 @@ def _micros(ntz: Column) -> Column:
 
 def _epoch_micros(clean: Column) -> Column:
     """Microseconds of a number of seconds, milli-, micro- or nanoseconds, by its size; null up to zero."""
-    value = F.when(clean.rlike(_NUMBER), clean).try_cast("decimal(38,9)")
-    floor = lambda factor: F.floor(value.cast("decimal(27,9)") * F.lit(factor).cast("decimal(8,0)")).cast("long")
-    nanos = F.call_function("div", value.try_cast("long"), F.lit(1000).cast("long"))
-    return F.when(value >= F.lit(9 * 10**18), None).when(value >= F.lit(10**17), nanos).when(value >= F.lit(10**14), floor(1)).when(value >= F.lit(10**11), floor(1000)).when(value > 0, floor(_US))
+
+    def scaled(value: Column) -> Column:
+        floor = lambda factor: F.floor(value.cast("decimal(27,9)") * F.lit(factor).cast("decimal(8,0)")).cast("long")
+        nanos = F.call_function("div", value.try_cast("long"), F.lit(1000).cast("long"))
+        return F.when(value >= F.lit(9 * 10**18), None).when(value >= F.lit(10**17), nanos).when(value >= F.lit(10**14), floor(1)).when(value >= F.lit(10**11), floor(1000)).when(value > 0, floor(_US))
+
+    return let(F.when(clean.rlike(_NUMBER), clean).try_cast("decimal(38,9)"), scaled)
+
+
+def _fields(clean: Column, date_order: Column) -> Column:
+    """Year, month, day, hour, minute, second, fraction, am/pm and zone of the first family that matches, as texts."""
+    found = []
+    for family, (pattern, places) in _FAMILIES.items():
+        flat = F.split(F.regexp_replace(clean, pattern, "|".join(f"${g}" if g else "" for g in places) + ("|$2" if family == "parts" else "")), r"\|")
+        if family == "parts":
+
+            def ordered(p: Column) -> Column:
+                last, second, first, slashed = p[0], p[1], p[2], p[9] == "/"
+                year_first, month_first = slashed & (date_order == "ymd"), slashed & (date_order == "mdy")
+                year = F.when(year_first, first).otherwise(last)
+                month = F.when(month_first, first).otherwise(second)
+                day = F.when(month_first, second).when(year_first, last).otherwise(first)
+                return F.concat(F.array(year, month, day), F.slice(p, 4, 6))
+
+            flat = let(flat, ordered)
+        found.append(F.when(clean.rlike(pattern), flat))
+    return F.coalesce(*found)
+
+
+def _offset_minutes(zone: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in ABBREVIATIONS.items() for x in (pair[0].lower(), pair[1])])
+    flat = F.split(F.regexp_replace(zone, r"^(?:utc|gmt)?([+-])(\d{1,2})(?::?(\d{2}))?$", "$1|$2|$3"), r"\|")
+
+    def numeric(p: Column) -> Column:
+        hours, minutes = _int(p[1]), F.coalesce(_int(p[2]), F.lit(0))
+        return F.when((hours <= 18) & (minutes < 60), F.when(p[0] == "-", -1).otherwise(1) * (hours * 60 + minutes))
+
+    return F.when(zone == "", None).when(zone.rlike(r"[+-]\d"), let(flat, numeric)).otherwise(F.try_element_at(table, zone))
+
+
+def _wall_and_offset(p: Column) -> Column:
+    year = F.when(F.length(p[0]) <= 2, _int(p[0]) + 2000).otherwise(_int(p[0]))
+    months = F.create_map(*[F.lit(x) for number, month in enumerate(MONTHS, 1) for x in (month, number)])
+    month = F.coalesce(F.try_element_at(months, F.substring(p[1], 1, 3)), _int(p[1]))
+    hour = let(_int(p[3]), lambda h: F.when(p[7] == "", h).when(h.between(1, 12), h % 12 + F.when(p[7] == "p", 12).otherwise(0)))
+    second = F.coalesce(_int(p[5]), F.lit(0))
+    micro = F.rpad(F.substring(p[6], 1, 6), 6, "0").cast("int")
+    wall = let(hour, lambda h: F.when(h.between(0, 23) & _int(p[4]).between(0, 59) & second.between(0, 59), F.try_make_timestamp_ntz(year, month, _int(p[2]), h, _int(p[4]), second.cast("decimal(16,6)"))))
+    return let(_offset_minutes(p[8]), lambda o: F.struct(F.when((p[8] == "") | o.isNotNull(), _micros(wall) + micro).alias("wall_us"), o.alias("offset_min")))
 
 
 def parse_instants(df: DataFrame, text: str, date_order: str, prefix: str = "ts") -> DataFrame:
     """Adds ``<prefix>_wall_us`` (wall time as microseconds of a zone-less clock), ``<prefix>_offset_min``
     (its own offset, null if it has none), ``<prefix>_named_zone`` (an IANA name in brackets) and
     ``<prefix>_epoch_us`` (a number counted since 1970). All null: the text names no instant."""
-    raw, clean = f"__{prefix}_raw", f"__{prefix}_clean"
-    df = df.withColumn(raw, _clean(F.col(text)))
+    parsed = f"__{prefix}_parsed"
+
+    def body(clean: Column) -> Column:
+        named = let(_fields(clean, F.col(date_order)), lambda p: F.when(p.isNotNull(), _wall_and_offset(p)))
+        return let(named, lambda w: F.struct(w["wall_us"].alias("wall_us"), w["offset_min"].alias("offset_min"), _epoch_micros(clean).alias("epoch_us")))
+
+    clean = F.trim(F.regexp_replace(_clean(F.col(text)), r"\[[a-z]+(?:/[a-z0-9_+-]+)*\]$", ""))
     zone_name = F.nullif(F.regexp_extract(F.col(text), r"\[([A-Za-z]+(?:/[A-Za-z0-9_+-]+)*)\]\s*$", 1), F.lit(""))
-    df = df.withColumn(f"{prefix}_named_zone", zone_name).withColumn(clean, F.trim(F.regexp_replace(F.col(raw), r"\[[a-z]+(?:/[a-z0-9_+-]+)*\]$", "")))
-    c = F.col(clean)
-    arrays = []
-    for family, (pattern, places) in _FAMILIES.items():
-        got = [F.regexp_extract(c, pattern, g) if g else F.lit("") for g in places]
-        if family == "parts":
-            separator, first, second = F.regexp_extract(c, pattern, 2), got[2], got[1]
-            year_first = (separator == "/") & (F.col(date_order) == "ymd")
-            month_first = (separator == "/") & (F.col(date_order) == "mdy")
-            last = got[0]
-            got[0] = F.when(year_first, first).otherwise(last)
-            got[1] = F.when(month_first, first).otherwise(second)
-            got[2] = F.when(month_first, second).when(year_first, last).otherwise(first)
-        arrays.append(F.when(c.rlike(pattern), F.array(*got)))
-    parts = f"__{prefix}_parts"
-    df = df.withColumn(parts, F.coalesce(*arrays))
-    at = lambda i: F.element_at(F.col(parts), i + 1)
-    year = F.when(F.length(at(0)) <= 2, _int(at(0)) + 2000).otherwise(_int(at(0)))
-    named = F.lit(None).cast("int")
-    for number, month in enumerate(MONTHS, 1):
-        named = F.when(at(1).startswith(month), F.lit(number)).otherwise(named)
-    month = F.coalesce(named, _int(at(1)))
-    hour, half = _int(at(3)), at(7)
-    hour = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
-    second = F.coalesce(_int(at(5)), F.lit(0))
-    micro = F.rpad(F.substring(at(6), 1, 6), 6, "0").cast("int")
-    ok = hour.between(0, 23) & _int(at(4)).between(0, 59) & second.between(0, 59)
-    wall = F.when(ok, F.try_make_timestamp_ntz(year, month, _int(at(2)), hour, _int(at(4)), second.cast("decimal(16,6)")))
-    zone = at(8)
-    numeric = F.regexp_extract(zone, r"^(?:utc|gmt)?([+-])(\d{1,2}):?(\d{2})?$", 0)
-    sign = F.when(F.regexp_extract(zone, r"([+-])", 1) == "-", -1).otherwise(1)
-    hours = _int(F.regexp_extract(zone, r"[+-](\d{1,2})(?::?(\d{2}))?$", 1))
-    minutes = F.coalesce(_int(F.regexp_extract(zone, r"[+-](\d{1,2})(?::?(\d{2}))?$", 2)), F.lit(0))
-    table = F.create_map(*[F.lit(x) for pair in ABBREVIATIONS.items() for x in (pair[0].lower(), pair[1])])
-    offset = F.when(zone == "", None).when(numeric != "", F.when((hours <= 18) & (minutes < 60), sign * (hours * 60 + minutes))).otherwise(F.try_element_at(table, zone))
-    known = (zone == "") | offset.isNotNull()
-    df = df.withColumn(f"{prefix}_wall_us", F.when(known, _micros(wall) + micro)).withColumn(f"{prefix}_offset_min", offset).withColumn(f"{prefix}_epoch_us", _epoch_micros(c))
-    return df.drop(raw, clean, parts)
+    out = df.withColumn(f"{prefix}_named_zone", zone_name).withColumn(parsed, let(clean, body))
+    for name in ("wall_us", "offset_min", "epoch_us"):
+        out = out.withColumn(f"{prefix}_{name}", F.col(parsed)[name])
+    return out.drop(parsed)
 
 
 def wall_to_utc_us(wall_us: Column, zone: Column) -> Column:
@@ -156,14 +180,16 @@ def normalise_timestamps(df: DataFrame, text: str, sources: DataFrame, source: s
     zones = candidates if candidates is not None else sorted({"UTC"} | {r[0] for r in sources.select("zone").distinct().limit(600).collect() if r[0]})
     missing = parsed.where(F.col("__zone").isNull() & F.col("__t_offset_min").isNull() & F.col("__t_named_zone").isNull())
     if candidates is not None or undeclared.limit(1).count():
-        estimates = estimate_zones(missing, source, "__t_wall_us", ingested, zones).select(F.col(source).alias("__e_src"), "est_zone")
+        estimates = estimate_zones(missing, source, "__t_wall_us", ingested, zones).select(F.col(source).alias("__e_src"), F.col("est_zone").alias("__t_est_zone"))
         parsed = parsed.join(estimates, F.col(source).eqNullSafe(F.col("__e_src")), "left").drop("__e_src")
     else:
-        parsed = parsed.withColumn("est_zone", F.lit(None).cast("string"))
-    zone = F.coalesce("__t_named_zone", "__zone", "est_zone")
-    instant = F.coalesce(
-        F.col("__t_epoch_us"),
-        F.when(F.col("__t_offset_min").isNotNull(), F.col("__t_wall_us") - F.col("__t_offset_min").cast("long") * F.lit(60 * _US)),
-        F.when(F.col("__t_wall_us").isNotNull() & F.col("__t_offset_min").isNull() & zone.isNotNull(), wall_to_utc_us(F.col("__t_wall_us"), zone)),
-    )
-    return parsed.withColumn(out, instant).drop("__src", "__zone", "__order", "__t_wall_us", "__t_offset_min", "__t_named_zone", "__t_epoch_us", "est_zone")
+        parsed = parsed.withColumn("__t_est_zone", F.lit(None).cast("string"))
+    zone = F.coalesce("__t_named_zone", "__zone", "__t_est_zone")
+    cells = F.struct(F.col("__t_epoch_us").alias("epoch"), F.col("__t_wall_us").alias("wall"), F.col("__t_offset_min").alias("offset"), zone.alias("zone"))
+
+    def instant(t: Column) -> Column:
+        own = F.when(t["offset"].isNotNull(), t["wall"] - t["offset"].cast("long") * F.lit(60 * _US))
+        return F.coalesce(t["epoch"], own, F.when(t["wall"].isNotNull() & t["zone"].isNotNull(), wall_to_utc_us(t["wall"], t["zone"])))
+
+    instant = let(cells, instant)
+    return parsed.withColumn(out, instant).drop("__src", "__zone", "__order", "__t_wall_us", "__t_offset_min", "__t_named_zone", "__t_epoch_us", "__t_est_zone")
