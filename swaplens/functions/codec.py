@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from swaplens.functions.json_text import MISSING, parse, unwrap
+
 CODED = "__b64__"
 
 
@@ -63,6 +65,9 @@ def body_of(chunks: list | None, codings: str | None) -> bytes:
     parts = []
     for chunk in chunks or []:
         data = (chunk or {}).get("data")
+        if isinstance(data, str) and data.lstrip().startswith("{") and CODED in data:
+            inner = parse(data)  # a table keeps the object as text
+            data = inner if isinstance(inner, dict) and inner.keys() == {CODED} else data
         if isinstance(data, dict):
             parts.append(base64.b64decode(data.get(CODED) or ""))
         elif isinstance(data, str):
@@ -76,8 +81,6 @@ def body_of(chunks: list | None, codings: str | None) -> bytes:
 @pandas_udf(T.StructType([T.StructField("body", T.StringType()), T.StructField("error", T.StringType())]))
 def decoded_body(chunks: pd.Series, codings: pd.Series) -> pd.DataFrame:
     """Body text of a JSON list of chunks, or why there is none."""
-    from swaplens.functions.json_text import MISSING, parse, unwrap
-
     out = []
     for text, names in zip(chunks, codings, strict=True):
         value = unwrap(parse(text))

@@ -3,6 +3,12 @@
 from __future__ import annotations
 
 import json
+import sys
+
+
+def allow_deep_nesting(levels: int = 100_000) -> None:
+    """Lets plain Python walkers follow whatever depth the parser accepts."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), levels))
 
 
 class NotJson(ValueError):
@@ -19,7 +25,7 @@ MISSING = object()
 
 def parse(text: str | None):
     """The value of a JSON text; MISSING for null and for text that is not valid JSON (NaN and the
-    like included, and nesting deeper than the interpreter's stack)."""
+    like included, and nesting deeper than the parser follows)."""
     if text is None:
         return MISSING
     try:

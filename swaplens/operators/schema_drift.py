@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from swaplens.functions.json_text import MISSING, parse, unwrap
+from swaplens.functions.json_text import MISSING, allow_deep_nesting, parse, unwrap
 
 GRAPH_LIMIT = 50_000
 SKETCH = 24
@@ -135,6 +135,7 @@ def field_profiles(df: DataFrame, record: str, text: str, writer: str = "writer"
     A task that holds ``flush`` profiles emits them and starts afresh, which bounds its memory."""
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        allow_deep_nesting()
         found: dict[tuple, Profile] = {}
         docs: Counter = Counter()
         for batch in batches:
@@ -304,6 +305,7 @@ def drift_report(profiles: DataFrame) -> DataFrame:
     pairs = file_schemas(profiles).withColumn("before", F.lag("fields").over(order)).where("before is not null")
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        allow_deep_nesting()
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
@@ -355,6 +357,7 @@ def consistent_table(df: DataFrame, record: str, record_id: str, text: str, name
     to = {r.field: r.canonical for r in found}
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        allow_deep_nesting()
         for batch in batches:
             cells = []
             for doc in batch.column(1).to_pylist():

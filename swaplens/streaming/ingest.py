@@ -53,11 +53,12 @@ def record_once(stream: DataFrame, key: str, stamp: str, late: str = "1 day") ->
     return stream.withWatermark(stamp, late).dropDuplicatesWithinWatermark([key])
 
 
-def pass_rate_windows(stream: DataFrame, stamp: str, passed: str, category: str, width: str = "1 day", late: str = "2 days") -> DataFrame:
-    """Extension: passes and rows per category in tumbling event-time windows."""
+def pass_rate_windows(stream: DataFrame, stamp: str, passed: str, category: str, width: str = "1 day", late: str | None = "2 days") -> DataFrame:
+    """Extension: passes and rows per category in tumbling event-time windows. ``late`` is null if the stream
+    has its watermark already."""
+    marked = stream if late is None else stream.withWatermark(stamp, late)
     return (
-        stream.withWatermark(stamp, late)
-        .groupBy(F.window(stamp, width).alias("w"), F.coalesce(F.col(category), F.lit("(uncategorized)")).alias("category"))
+        marked.groupBy(F.window(stamp, width).alias("w"), F.coalesce(F.col(category), F.lit("(uncategorized)")).alias("category"))
         .agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(passed)).alias("passed"))
         .select(F.col("w.start").alias("window_start"), "category", "rows", "passed")
     )
