@@ -207,7 +207,7 @@ def _add_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["row", "part"])
 
 
-def latent_basis(docs: DataFrame, text: str, items: Items, rank: int = RANK, share: float = 0.3, seed: int = 7, passes: int = 1) -> np.ndarray:
+def latent_basis(docs: DataFrame, text: str, items: Items, rank: int = RANK, share: float = 0.6, seed: int = 7, passes: int = 1) -> np.ndarray:
     """Right singular vectors (words x rank) of the passages' TF-IDF matrix, by randomised range finding.
 
     Rows are the passages of all documents with at least ``share`` of their weight in the items' words (the cosine of the
@@ -356,7 +356,7 @@ def align(words: list[str], item: list[str], counted: np.ndarray, misspelt: Call
 LEAKS = "doc_id long, item_id long, matched int, passage int, item_words int, answer_near boolean, cosine double"
 
 
-def search(docs: DataFrame, doc_id: str, text: str, items: Items, cosine: float = 0.65, share: float = 0.3) -> DataFrame:
+def search(docs: DataFrame, doc_id: str, text: str, items: Items, cosine: float = 0.65, share: float = 0.6) -> DataFrame:
     """Every (document, item) with a candidate passage, aligned; map-only."""
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
