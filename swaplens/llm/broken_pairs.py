@@ -13,6 +13,7 @@ rows are reported each.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swaplens.llm import pii, truncation
-from swaplens.llm.languages import asked_language, language_of, scores
+from swaplens.llm.languages import FUNCTION_WORDS, asked_language, language_of, scores
 
 #: Placeholders that stand for no answer.
 PLACEHOLDERS = frozenset("n/a|na|n.a.|null|none|nil|nan|undefined|empty|no content|no response|no answer|no output|empty response|empty answer|no text|blank|missing|tbd|todo|placeholder|kein inhalt|keine antwort|leer|sin contenido|sin respuesta|vacío|pas de contenu|pas de réponse|sans réponse|aucune réponse|vide".split("|"))
@@ -90,21 +91,29 @@ def is_empty(text: str | None) -> bool:
     bare = _TAGS.sub("", text)
     if not _CONTENT.search(bare):
         return True
-    inner = regex.sub(r"^[\s\p{P}\p{S}\p{Cf}]+|[\s\p{P}\p{S}\p{Cf}]+$", "", bare).lower()
+    if len(bare) > 80:
+        return False
+    inner = _EDGES.sub("", bare).lower()
     return inner in PLACEHOLDERS or inner.replace("/", "") in PLACEHOLDERS
 
 
 def is_refusal(text: str) -> bool:
     """Declines in the first person in its first sentences, and does little else."""
-    plain = regex.sub(r"\s+", " ", text.replace("’", "'").replace("`", "'")).strip().strip("*_\"“”'>")
-    if len(plain.split()) > 60:
+    words = text.replace("’", "'").replace("`", "'").split()
+    if len(words) > 60:
         return False
+    plain = " ".join(words).strip("*_\"“”'>")
     head = " ".join(_SENTENCE.split(plain)[:2])
     return any(p.search(head) for p in _REFUSAL.values())
 
 
+_MARKS = regex.compile(r"[\s\p{P}\p{S}\p{Cf}]+")
+_EDGES = regex.compile(r"^[\s\p{P}\p{S}\p{Cf}]+|[\s\p{P}\p{S}\p{Cf}]+$")
+
+
+@functools.lru_cache(maxsize=2048)
 def _folded(text: str) -> str:
-    return regex.sub(r"[\s\p{P}\p{S}]+", " ", regex.sub(r"[\p{Cf}]", "", text)).strip().casefold()
+    return _MARKS.sub(" ", text).strip().casefold()
 
 
 def left_of_copy(prompt: str, answer: str) -> float:
@@ -133,9 +142,17 @@ def _instruction(prompt: str) -> str:
     return turns[-1] if turns else prompt
 
 
+@functools.lru_cache(maxsize=2048)
+def _own_language(prompt: str) -> str | None:
+    return language_of(_CODE.sub(" ", _instruction(prompt))) or language_of(_CODE.sub(" ", prompt))
+
+
+_asked = functools.lru_cache(maxsize=2048)(asked_language)
+
+
 def is_wrong_language(prompt: str, answer: str) -> bool:
     """Prose in another language than the one asked for, or else than the prompt's."""
-    asked = asked_language(prompt)
+    asked = _asked(prompt)
     prose = _CODE.sub(" ", answer)
     if prose.lstrip()[:1] in "{[" and re.search(r'":', prose):
         return False
@@ -147,9 +164,11 @@ def is_wrong_language(prompt: str, answer: str) -> bool:
         return False
     if asked:
         return got != asked
-    wanted = language_of(_CODE.sub(" ", _instruction(prompt))) or language_of(_CODE.sub(" ", prompt))
+    wanted = _own_language(prompt)
     if wanted is None or wanted == got:
         return False
+    if got not in FUNCTION_WORDS:
+        return True  # told by its script
     found, words = scores(own)
     return words >= 4 and found.get(got, 9.0) > 1.5 * found.get(wanted, 0.0) + 0.5
 

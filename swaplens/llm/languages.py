@@ -53,9 +53,10 @@ def scores(text: str) -> tuple[dict[str, float], int]:
             found[code] = found.get(code, 0.0) + x
         if code := _ELISION.get(w):
             found[code] = found.get(code, 0.0) + 1.0
+    if not text.isascii():
         for code, letters in _LETTERS:
-            if letters.search(w):
-                found[code] = found.get(code, 0.0) + 0.5
+            if n := len(letters.findall(text.lower())):
+                found[code] = found.get(code, 0.0) + 0.5 * n
     return found, len(words)
 
 
