@@ -19,8 +19,11 @@ def _refuse(name: str):
     raise NotJson(name)
 
 
-_decoder = json.JSONDecoder(parse_constant=_refuse, strict=False)
-MISSING = object()
+_decoder = json.JSONDecoder(parse_constant=_refuse)
+
+
+class MISSING:
+    """Stands for no value; a class, so that it is the same object in every process it is sent to."""
 
 
 def parse(text: str | None):
