@@ -116,6 +116,12 @@ def _folded(text: str) -> str:
     return _MARKS.sub(" ", text).strip().casefold()
 
 
+def left_alone(answer: str) -> float:
+    """Share of the answer's bytes that remain when it is compressed by itself."""
+    data = _folded(answer).encode()
+    return max(0, len(zstandard.ZstdCompressor(level=9, write_content_size=False).compress(data)) - 9) / max(1, len(data))
+
+
 def left_of_copy(prompt: str, answer: str) -> float:
     """Share of the answer's bytes that remain when it is compressed with the prompt as its dictionary."""
     data = _folded(answer).encode()
@@ -128,11 +134,15 @@ def left_of_copy(prompt: str, answer: str) -> float:
 
 
 def is_copy(prompt: str, answer: str, most: float = 0.3) -> bool:
-    """Gives the prompt back: nearly nothing of the answer is new, and it is about as long as the prompt or its last turn."""
+    """Gives the prompt back: nearly nothing of the answer is new, which its own repetitions don't explain, and it is
+    about as long as the prompt or its last turn."""
     turns = [t for t in _TURN.split(prompt) if t.strip()]
     for given in dict.fromkeys([prompt, turns[-1] if turns else prompt]):
         a, b = len(_folded(answer)), len(_folded(given))
-        if b and 0.7 * b <= a <= 1.6 * b + 40 and left_of_copy(given, answer) <= most * min(1.0, max(a, 1) / b if a < b else 1.0):
+        if not b or not 0.7 * b <= a <= 1.6 * b + 40:
+            continue
+        left = left_of_copy(given, answer)
+        if left <= most * min(1.0, a / b) and left <= 0.5 * left_alone(answer):
             return True
     return False
 

@@ -26,6 +26,12 @@ def test_copies():
     assert broken_pairs.judge(PROMPT, "Nobody noticed the longer preamble until Monday. It helps to compare each category on its own.", False)[0] is None
 
 
+def test_repetition_is_no_copy():
+    prompt = "Translate into French: " + " ".join(f"Support answered within {k} minutes and was very kind." for k in range(6))
+    answer = " ".join(f"Der Support antwortete innerhalb von {k} Minuten und war sehr freundlich." for k in range(6))
+    assert broken_pairs.judge(prompt, answer, False)[0] == "wrong_language"
+
+
 @pytest.mark.parametrize(
     ("prompt", "answer", "wrong"),
     [
