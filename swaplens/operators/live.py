@@ -1,0 +1,66 @@
+"""Live answers for rows without a recorded one (SRC-8, DT-3): an injected client, called in Arrow batches.
+
+Nothing here opens a connection: ``client`` is any callable from (url, body) to (status, headers, body). Rows go out by
+partition, so the number of partitions is the number of rows in flight."""
+
+from __future__ import annotations
+
+import time
+from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
+from email.utils import parsedate_to_datetime
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from swaplens.functions import dialects
+
+Client = Callable[[str, str], tuple[int, dict[str, str], str]]
+ANSWER = "row_id long, status string, reason string, text string, finish_reason string, attempts int"
+
+
+def retry_delay(attempt: int, headers: dict[str, str], now: datetime | None = None) -> float:
+    """Seconds to wait: Retry-After as seconds or a date (naive dates are UTC), else doubling; never negative."""
+    given = next((v for k, v in headers.items() if k.lower() == "retry-after"), None)
+    if given:
+        try:
+            return max(0.0, float(given))
+        except ValueError:
+            try:
+                at = parsedate_to_datetime(given)
+                at = at if at.tzinfo else at.replace(tzinfo=UTC)
+                return max(0.0, (at - (now or datetime.now(UTC))).total_seconds())
+            except (TypeError, ValueError):
+                pass
+    return float(2**attempt)
+
+
+def ask(rows: DataFrame, client: Client, provider: str, retries: int = 2, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """``rows`` has row_id, url and body (a request built by ``decode.translate``); every row gives one answer row."""
+
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in ANSWER.split(", ")]
+        for batch in batches:
+            out = []
+            for i, url, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                attempt, row = 0, (i, "error", "not sent", None, None, 0)
+                while attempt <= retries:
+                    attempt += 1
+                    try:
+                        status, headers, payload = client(url, body)
+                        if status == 200:
+                            got = dialects.decode(provider, payload, False)
+                            row = (i, "ok", None, got["text"], got["finish_reason"], attempt)
+                            break
+                        row = (i, "error", f"HTTP {status} from upstream", None, None, attempt)
+                        if status not in (408, 429, 500, 502, 503, 504):
+                            break
+                        if attempt <= retries:
+                            sleep(retry_delay(attempt - 1, headers))
+                    except Exception as e:
+                        row = (i, "error", str(e) or type(e).__name__, None, None, attempt)
+                out.append(row)
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
+
+    return rows.select("row_id", "url", "body").mapInArrow(per_task, ANSWER)

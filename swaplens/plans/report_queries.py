@@ -594,6 +594,15 @@ def judge_second_opinion(spark, sf_dir):
     return _ok(spark, sf_dir).select("row_id", r.alias("r")).select("row_id", F.col("r.passed").alias("passed"), F.round("r.score", 6).alias("score"), "r.error")
 
 
+@query()
+def comparator_run(spark, sf_dir):
+    """CMP-1..5, CMP-10..13: every offline comparator by specification, aggregated (AGG-4)."""
+    from swaplens.operators import compare
+
+    rows = spread(_rows(spark, sf_dir).select("row_id", "category", "status", "prompt_text", "baseline_text", "target_text", "baseline_tool_calls", "target_tool_calls"))
+    return _rounded(migration.comparator_aggregate(compare.run(rows, "all,json:service,code")), "mean_score", "pass_rate")
+
+
 # --- usage, streams, imports -----------------------------------------------------------------------------------------
 
 
