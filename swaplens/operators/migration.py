@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swaplens.functions import identity, numbers, text
@@ -20,16 +20,21 @@ def baselines(df: DataFrame, column: str, contains: str | None = None) -> DataFr
 
 
 def newest_per_key(df: DataFrame, key: str, stamp: str, row_id: str) -> DataFrame:
-    """The newest row per key by (stamp text, id), with the first id of the key and the ids of the others (AGG-1..3).
+    """The newest row per key by (stamp text, id), with the first id of the key and its recordings (AGG-1, AGG-2).
 
-    A key's rows are reduced by partial aggregates, so a hot key costs one row per task; only the ids of
-    its other rows are gathered."""
+    Only partial aggregates: a hot key costs one row per task."""
     order = F.struct(F.coalesce(F.col(stamp), F.lit("")).alias("at"), F.col(row_id).alias("id"))
-    grouped = df.groupBy(key).agg(
-        F.max_by(F.struct(*df.columns), order).alias("newest"), F.min(row_id).alias("first_id"), F.count(F.lit(1)).alias("recordings"), F.array_sort(F.collect_list(order)).alias("all")
-    )
-    others = F.array_join(F.transform(F.slice("all", 1, F.greatest(F.size("all") - 1, F.lit(0))), lambda x: x["id"].cast("string")), ", ")
-    return grouped.select("newest.*", "first_id", "recordings", others.alias("ignored_ids"))
+    grouped = df.groupBy(key).agg(F.max_by(F.struct(*df.columns), order).alias("newest"), F.min(row_id).alias("first_id"), F.count(F.lit(1)).alias("recordings"))
+    return grouped.select("newest.*", "first_id", "recordings")
+
+
+def ignored_recordings(df: DataFrame, key: str, stamp: str, row_id: str) -> DataFrame:
+    """AGG-3: one row per recording that is not the newest of its key: ``key, kept_id, ignored_id``.
+
+    A join with one winner per key; a key's recordings are never gathered."""
+    kept = newest_per_key(df.select(key, stamp, row_id), key, stamp, row_id).select(F.col(key).alias("__key"), F.col(row_id).alias("kept_id"))
+    joined = df.join(kept, F.col(key) == F.col("__key")).where(F.col(row_id) != F.col("kept_id"))
+    return joined.select(key, "kept_id", F.col(row_id).alias("ignored_id"))
 
 
 def with_target(base: DataFrame, targets: DataFrame, base_id: str, model: Column, target_id: str) -> DataFrame:
@@ -138,10 +143,10 @@ def detail_rows(df: DataFrame, comparisons: str, order_id: str, most: int = 25)
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, row_id: str, version: str) -> DataFrame:
-    """SINK-2: the newest version of each id."""
+    """SINK-2: the newest version of each id (no version is the oldest), by partial aggregates."""
     both = existing.unionByName(incoming)
-    newest = Window.partitionBy(row_id).orderBy(F.desc_nulls_last(version))
-    return both.withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__n")
+    newest = F.max_by(F.struct(*both.columns), F.struct(F.col(version).isNotNull(), F.col(version)))
+    return both.groupBy(F.col(row_id).alias("__id")).agg(newest.alias("row")).select("row.*")
 
 
 def discard(existing: DataFrame, ids: DataFrame, row_id: str) -> DataFrame:

@@ -106,16 +106,23 @@ def fuzzy_compare(spark, sf_dir):
     return rows.select("row_id", migration.fuzzy(F.col("baseline_text"), F.col("target_text")).alias("r")).select("row_id", F.round("r.score", 6).alias("score"), F.col("r.passed").alias("passed"))
 
 
-@query("""
+_NEWEST_SQL = """
     WITH g AS (SELECT semantic_key, row_id, coalesce(baseline_recorded_at, '') AS seen FROM row_results WHERE semantic_key IS NOT NULL),
-    r AS (SELECT *, row_number() OVER (PARTITION BY semantic_key ORDER BY seen DESC, row_id DESC) AS n FROM g)
-    SELECT semantic_key, max(CASE WHEN n = 1 THEN row_id END) AS row_id, min(row_id) AS first_id, CAST(count(*) AS BIGINT) AS recordings,
-           coalesce(string_agg(CASE WHEN n > 1 THEN CAST(row_id AS VARCHAR) END, ', ' ORDER BY seen, row_id), '') AS ignored_ids
-    FROM r GROUP BY 1""")
+    r AS (SELECT *, row_number() OVER (PARTITION BY semantic_key ORDER BY seen DESC, row_id DESC) AS n FROM g)"""
+
+
+@query(f"{_NEWEST_SQL} SELECT semantic_key, max(CASE WHEN n = 1 THEN row_id END) AS row_id, min(row_id) AS first_id, CAST(count(*) AS BIGINT) AS recordings FROM r GROUP BY 1")
 def semantic_group_newest(spark, sf_dir):
-    """AGG-1..3, WIN-1: the newest recording of each prompt, and the note of the ignored ones."""
+    """AGG-1, AGG-2, WIN-1: the newest recording of each prompt."""
+    rows = _rows(spark, sf_dir).where("semantic_key is not null").select("semantic_key", "row_id", "baseline_recorded_at")
+    return migration.newest_per_key(rows, "semantic_key", "baseline_recorded_at", "row_id").select("semantic_key", "row_id", "first_id", "recordings")
+
+
+@query(f"{_NEWEST_SQL}, k AS (SELECT semantic_key, row_id AS kept_id FROM r WHERE n = 1) SELECT r.semantic_key, kept_id, row_id AS ignored_id FROM r JOIN k ON r.semantic_key = k.semantic_key WHERE n > 1")
+def ignored_recordings(spark, sf_dir):
+    """AGG-3: the recordings that a newer one of their prompt replaces."""
     rows = _rows(spark, sf_dir).where("semantic_key is not null").select("semantic_key", "row_id", "baseline_recorded_at")
-    return migration.newest_per_key(rows, "semantic_key", "baseline_recorded_at", "row_id").select("semantic_key", "row_id", "first_id", "recordings", "ignored_ids")
+    return migration.ignored_recordings(rows, "semantic_key", "baseline_recorded_at", "row_id")
 
 
 @query("SELECT row_id, migration_id FROM row_results WHERE migration_id NOT LIKE 'migration\\_\\_%' ESCAPE '\\' AND migration_id NOT LIKE 'judge\\_\\_%' ESCAPE '\\' UNION ALL SELECT row_id, baseline_id FROM row_results WHERE baseline_id NOT LIKE 'migration\\_\\_%' ESCAPE '\\' AND baseline_id NOT LIKE 'judge\\_\\_%' ESCAPE '\\' AND contains(baseline_id, 'openai')")

@@ -58,4 +58,5 @@ def spread(df: DataFrame, factor: int = 1) -> DataFrame:
     alone give enough splits, so that at scale no shuffle is added.
     """
     want = df.sparkSession.sparkContext.defaultParallelism * factor
-    return df if len(df.inputFiles()) >= want else df.repartition(want)
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if splits >= want else df.repartition(want)
