@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from swaplens.functions import codec, identity, leaves, numbers, text
 from swaplens.operators import decode, migration, rates
-from swaplens.sources.tables import read_table, spread
+from swaplens.sources.tables import read_table, shared_folder, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -715,14 +715,11 @@ def import_export_records(spark, sf_dir):
 @query()
 def stream_ingest(spark, sf_dir):
     """STM-6: row_results read as a stream and kept newest per baseline, as the batch upsert does."""
-    import os
-    import tempfile
     import uuid
 
     from swaplens.streaming import ingest
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    base = os.path.join(folder, f"ingest-{uuid.uuid4().hex}")
+    base = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     path = f"{sf_dir}/row_results.parquet"
     stream = ingest.stream_table(spark, path, spark.read.parquet(path).schema).select("baseline_id", "row_id", "target_recorded_at")
     run = ingest.keep_newest(stream, "baseline_id", "target_recorded_at", f"{base}/table", f"{base}/state")
