@@ -76,4 +76,19 @@ QUERIES: dict[str, Query] = {
     "p7_consistent": p7_consistent,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p5_found": """
+    WITH doc AS (
+        SELECT 'chunk' AS child, capture_id AS parent_id, CASE WHEN json_valid(chunks) THEN chunks END AS j FROM captured_interactions
+        UNION ALL SELECT 'response_tool_call', import_id, CASE WHEN json_valid(response_tool_calls) THEN response_tool_calls END FROM imported_records
+        UNION ALL SELECT unnest(['retry', 'link']), capture_id, unnest([json_extract(m, '$.retries'), json_extract(m, '$.trace.links')])
+            FROM (SELECT capture_id, CASE WHEN json_valid(metadata) THEN CASE WHEN json_type(metadata) = 'VARCHAR' AND json_valid(json_extract_string(metadata, '$')) THEN json_extract_string(metadata, '$') ELSE metadata END END AS m FROM captured_interactions)),
+    plain AS (SELECT child, parent_id, CASE WHEN json_type(j) = 'VARCHAR' AND json_valid(json_extract_string(j, '$')) THEN CAST(json_extract_string(j, '$') AS JSON) ELSE CAST(j AS JSON) END AS j FROM doc),
+    items AS (SELECT child, parent_id, CASE json_type(j) WHEN 'ARRAY' THEN json_extract(j, '$[*]') WHEN 'OBJECT' THEN [j] ELSE [] END AS e FROM plain WHERE j IS NOT NULL),
+    kids AS (SELECT child, parent_id, -1 AS parent_pos, unnest(e) AS x, unnest(range(len(e))) AS pos FROM items),
+    msg AS (SELECT import_id, unnest(messages) AS m, unnest(range(len(messages))) AS k FROM imported_records),
+    calls AS (SELECT import_id, k, unnest(m.tool_calls) AS c, unnest(range(len(m.tool_calls))) AS pos FROM msg WHERE m IS NOT NULL)
+    SELECT child, parent_id, CAST(parent_pos AS INT) AS parent_pos, CAST(pos AS INT) AS pos FROM kids WHERE json_type(x) = 'OBJECT'
+    UNION ALL SELECT 'message', import_id, -1, CAST(k AS INT) FROM msg WHERE m IS NOT NULL
+    UNION ALL SELECT 'message_tool_call', import_id, CAST(k AS INT), CAST(pos AS INT) FROM calls WHERE c IS NOT NULL""",
+}
