@@ -97,3 +97,13 @@ def decode_captures(captures: DataFrame) -> DataFrame:
     decoded = decode_response(F.col("provider"), F.col("payload.body"), stream, F.coalesce("response_status", F.lit(0)))
     out = bodies.withColumn("decoded", decoded).withColumn("asked", read_request(F.col("provider"), F.col("method"), F.col("url"), F.col("request_content")))
     return out.withColumn("decode_error", F.coalesce(F.col("payload.error"), F.col("decoded.error")))
+
+
+def summaries(decoded: DataFrame) -> DataFrame:
+    """MNT-2: what an interaction is about, for people: previews of the last user turn and of the answer; each part is
+    null on its own where it cannot be read. Secrets are replaced."""
+    turns = F.from_json(F.get_json_object("asked.conversation", "$.messages"), "array<struct<role:string,content:string>>")
+    said = F.filter(turns, lambda m: (m["role"] == "user") & (m["content"] != ""))
+    prompt = text.preview(text.scrub(F.try_element_at(said, F.lit(-1))["content"]))
+    answer = text.preview(text.scrub(text.render_response(F.col("decoded.text"), F.col("decoded.tool_calls"))))
+    return decoded.withColumn("prompt_head", prompt).withColumn("response_head", F.when(F.col("decode_error").isNull(), answer))

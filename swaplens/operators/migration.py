@@ -169,3 +169,15 @@ def gap_notes(base_provider: Column, target_provider: Column, temperature: Colum
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def verdict_rows(answered: DataFrame, judge_model: str, base: str = "baseline_text", target: str = "target_text") -> DataFrame:
+    """SINK-5: verdicts to keep, under the id by which they are looked up: ``id, judge_model, equivalent, score``."""
+    own = identity.judge_id(F.lit(judge_model), F.col(base), F.col(target))
+    return answered.select(own.alias("id"), F.lit(judge_model).alias("judge_model"), "equivalent", "score").dropDuplicates(["id"])
+
+
+def with_verdict(rows: DataFrame, verdicts: DataFrame, judge_model: str, name: str, base: str = "baseline_text", target: str = "target_text") -> DataFrame:
+    """JOIN-3: each row with the recorded verdict of a judge as the struct ``name`` (null: none is recorded)."""
+    kept = verdicts.select(F.col("id").alias("__verdict"), F.struct("equivalent", "score").alias(name))
+    return rows.join(kept, identity.judge_id(F.lit(judge_model), F.col(base), F.col(target)) == F.col("__verdict"), "left").drop("__verdict")

@@ -642,6 +642,26 @@ def decoded_captures(spark, sf_dir):
     return got.select("capture_id", "provider", "asked.cassette_id", "asked.semantic_key", F.col("asked.error").alias("request_error"), "decoded.text", "decoded.finish_reason", "decode_error")
 
 
+@query()
+def capture_summaries(spark, sf_dir):
+    """MNT-2, PRJ-1..3: heads of prompt and answer of every interaction."""
+    captures = decode.decode_captures(spread(read_table(spark, sf_dir, "captured_interactions")))
+    return decode.summaries(captures).select("capture_id", "provider", "prompt_head", "response_head")
+
+
+_JUDGE = "model-j"
+
+
+@query(f"""WITH v AS (SELECT DISTINCT {_sql_digest(f"'{_JUDGE}'", 'baseline_text', 'target_text')} AS d, baseline_text = target_text AS e FROM row_results WHERE status = 'ok' AND row_id % 3 = 0 AND baseline_text IS NOT NULL AND target_text IS NOT NULL)
+    SELECT row_id, v.d IS NOT NULL AS recorded, v.e AS equivalent FROM (SELECT row_id, {_sql_digest(f"'{_JUDGE}'", 'baseline_text', 'target_text')} AS d FROM row_results WHERE status = 'ok') r LEFT JOIN v ON r.d = v.d""")
+def judge_cached(spark, sf_dir):
+    """JOIN-3, SINK-5, ID-10: verdicts kept for a third of the rows and looked up for all."""
+    rows = _ok(spark, sf_dir).select("row_id", "baseline_text", "target_text")
+    answered = rows.where("row_id % 3 = 0 and baseline_text is not null and target_text is not null").withColumn("equivalent", F.col("baseline_text") == F.col("target_text")).withColumn("score", F.lit(None).cast("double"))
+    kept = migration.verdict_rows(answered, _JUDGE)
+    return migration.with_verdict(rows, kept, _JUDGE, "v").select("row_id", F.col("v").isNotNull().alias("recorded"), F.col("v.equivalent").alias("equivalent"))
+
+
 @query("""WITH c AS (SELECT capture_id, unnest(json_extract(chunks, '$[*].timestamp_offset')) AS o, unnest(range(CAST(json_array_length(chunks) AS BIGINT))) AS k FROM captured_interactions WHERE json_valid(chunks) AND json_type(chunks) = 'ARRAY' AND NOT list_contains(list_transform(json_extract(chunks, '$[*]'), lambda e: json_type(e) = 'NULL' OR json_extract(e, '$.timestamp_offset') IS NULL), true))
     SELECT capture_id, CAST(k AS INT) AS pos, round(greatest(0.0, CAST(o AS DOUBLE) - lag(CAST(o AS DOUBLE), 1, 0.0) OVER (PARTITION BY capture_id ORDER BY k)), 6) AS delay FROM c""")
 def replay_delays(spark, sf_dir):

@@ -41,6 +41,17 @@ def cell(value) -> str:
     return f"{value:.4g}" if isinstance(value, float) else str(value)
 
 
+def money(amount, currency: str = "USD") -> str:
+    """Exact amounts with six places, trailing zeros cut to two."""
+    from decimal import ROUND_HALF_EVEN, Decimal
+
+    if amount is None:
+        return "?"
+    whole, _, places = f"{Decimal(amount).quantize(Decimal('0.000001'), ROUND_HALF_EVEN):,f}".partition(".")
+    places = places.rstrip("0").ljust(2, "0")
+    return f"${whole}.{places}" if currency == "USD" else f"{whole}.{places} {currency}"
+
+
 def comparisons(results: DataFrame) -> DataFrame:
     """Long form of the exact and fuzzy comparisons of the ok rows of a result table."""
     ok = results.where("status = 'ok'")

@@ -18,6 +18,10 @@ def test_console_is_ascii_and_cells_are_escaped():
     assert "&lt;" in report.page("t", [report.Table("<", ["a"], [("<b>",)])])
 
 
+def test_money():
+    assert [report.money(x) for x in ("0.0000125", "1234.5", None, "0")] == ["$0.000012", "$1,234.50", "?", "$0.00"] and report.money("2", "EUR") == "2.00 EUR"
+
+
 def test_corpus_round_trip(spark, tmp_path):
     import base64
     import gzip
