@@ -75,8 +75,7 @@ def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles per model pair (scope 'all', merged from its days) and per model pair and day (scope 'day')."""
     days = cut_lineage(_latency_day_sketches(spark, sf_dir))
     groups = percentiles.merge_sketches(days, by_day=False)
-    both = days.withColumn("scope", F.lit("day")).unionByName(groups.withColumn("scope", F.lit("all")))
-    return percentiles.percentiles_of(both.drop("scope")).withColumn("scope", F.when(F.col("run_day").isNull(), "all").otherwise("day"))
+    return percentiles.percentiles_of(days).withColumn("scope", F.lit("day")).unionByName(percentiles.percentiles_of(groups).withColumn("scope", F.lit("all")))
 
 
 def p2_day_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
