@@ -192,6 +192,16 @@ def _heavy(codes: np.ndarray, weights: np.ndarray, share: float) -> np.ndarray:
     return starts[(inside > 0) & (inside >= share**2 * whole)]
 
 
+def _runs(starts: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, int, int]]:
+    """The windows in runs of at most 256 that span at most some thousand words, so that a projection stays small however
+    long the text is: (starts, first word, end)."""
+    at = 0
+    while at < len(starts):
+        end = min(at + 256, int(np.searchsorted(starts, starts[at] + 4096, "right")))
+        yield starts[at:end], int(starts[at]), min(n, int(starts[end - 1]) + WORDS)
+        at = end
+
+
 def _project(codes: np.ndarray, starts: np.ndarray, scaled: np.ndarray) -> np.ndarray:
     """Sums of the rows of ``scaled`` (weight x basis) over each window."""
     rows = np.where((codes >= 0)[:, None], scaled[codes], 0.0)
@@ -237,9 +247,9 @@ def latent_basis(docs: DataFrame, text: str, items: Items, rank: int = RANK, sha
                 if not len(codes) or codes.max() < 0:
                     continue
                 starts = _heavy(codes, weights, share)
-                if len(starts):
+                for part, low, high in _runs(starts, len(codes)):
                     any_row = True
-                    spread(codes, weights, starts, scaled, total)
+                    spread(codes[low:high], weights[low:high], part - low, scaled, total)
         rows = np.flatnonzero(np.abs(total).sum(1)) if any_row else []
         yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), pa.array([total[r].tolist() for r in rows], pa.list_(pa.float64()))], ["row", "part"])
 
@@ -303,14 +313,14 @@ def align(words: list[str], item: list[str], counted: np.ndarray, misspelt: Call
     """The best connected passage: (matched words, length in the item, start, end in ``words``).
 
     Local alignment: a match counts 1, a replaced word -1.2, a dropped or added one -0.8."""
-    n, m = len(words), len(item)
+    m = len(item)
     place: dict[str, list[int]] = {}
     for j, w in enumerate(item):
         if counted[j]:
             place.setdefault(w, []).append(j)
     score = np.zeros(m + 1)
     gap_costs = 0.8 * np.arange(m + 1)
-    matched = np.zeros((n + 1, m + 1), np.int16)
+    matched = np.zeros((2, m + 1), np.int32)
     begin = np.tile(np.arange(m + 1, dtype=np.int32), (2, 1))
     begin_doc = np.zeros((2, m + 1), np.int32)
     best, found = 0.0, (0, 0, 0, 0)
@@ -327,14 +337,14 @@ def align(words: list[str], item: list[str], counted: np.ndarray, misspelt: Call
         up = score[1:] - 0.8
         take_up = up > diagonal
         new[1:] = np.maximum(np.maximum(diagonal, up), 0.0)
-        old_b, old_d = begin[(i - 1) & 1], begin_doc[(i - 1) & 1]
+        old_b, old_d, old_k = begin[(i - 1) & 1], begin_doc[(i - 1) & 1], matched[(i - 1) & 1]
         b = np.empty(m + 1, np.int32)
         d = np.empty(m + 1, np.int32)
-        k = np.empty(m + 1, np.int16)
+        k = np.empty(m + 1, np.int32)
         b[0], d[0], k[0] = 0, i, 0
         b[1:] = np.where(take_up, old_b[1:], old_b[:-1])
         d[1:] = np.where(take_up, old_d[1:], old_d[:-1])
-        k[1:] = np.where(take_up, matched[i - 1, 1:], matched[i - 1, :-1] + (same > 0))
+        k[1:] = np.where(take_up, old_k[1:], old_k[:-1] + (same > 0))
         fresh = new <= 0
         b[fresh] = np.arange(m + 1)[fresh]
         d[fresh], k[fresh] = i, 0
@@ -345,7 +355,7 @@ def align(words: list[str], item: list[str], counted: np.ndarray, misspelt: Call
             source = np.maximum.accumulate(np.where(lifted >= top - 1e-12, np.arange(m + 1), 0))
             new = np.where(left, top - gap_costs, new)
             b, d, k = np.where(left, b[source], b), np.where(left, d[source], d), np.where(left, k[source], k)
-        begin[i & 1], begin_doc[i & 1], matched[i] = b, d, k
+        begin[i & 1], begin_doc[i & 1], matched[i & 1] = b, d, k
         score = new
         j = int(new.argmax())
         if new[j] > best:
@@ -383,9 +393,7 @@ def search(docs: DataFrame, doc_id: str, text: str, items: Items, cosine: float
                     continue
                 spots: dict[int, list[int]] = {}
                 nearest: dict[int, float] = {}
-                for at in range(0, len(starts), 256):
-                    part = starts[at : at + 256]
-                    low, high = int(part[0]), min(len(codes), int(part[-1]) + WORDS)
+                for part, low, high in _runs(starts, len(codes)):
                     got = _project(codes[low:high], part - low, items.basis)
                     got /= np.maximum(np.linalg.norm(got, axis=1, keepdims=True), 1e-12)
                     likeness = got.astype(np.float32) @ items.windows.T
