@@ -16,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def _judged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spread(read_table(spark, sf_dir, "row_results").select("row_id", "status", "prompt_text", "baseline_text", "target_text", "baseline_tool_calls", "target_tool_calls"))
     lexicon = pii.name_lexicon(rows, ["prompt_text", "baseline_text", "target_text"])
-    facts = broken_pairs.pair_facts(rows, lexicon)
+    facts = cut_lineage(broken_pairs.pair_facts(rows, lexicon))
     answers = rows.where("status = 'ok'").select(F.explode(F.array("baseline_text", "target_text")).alias("text"))
     return broken_pairs.defective_pairs(facts, truncation.ending_contexts(answers, "text"))
 
