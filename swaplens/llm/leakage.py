@@ -5,10 +5,13 @@ Latent semantic retrieval over passages (windows of words), with exact checks af
 1. ``document_frequencies`` counts, over all documents, in how many each hashed word occurs.
 2. ``latent_basis`` is a randomised SVD of the TF-IDF matrix of all passages of corpus and evaluation items, over the
    words of the items: two passes of the range finder add up small word x rank blocks, block by block on the cluster.
-3. ``leaked`` projects every passage with enough weight in the items' words and takes each item passage with a cosine
-   of at least ``cosine``; each candidate is then checked by aligning the words of the document and of the item (longest
-   common subsequence of a connected passage, with single replaced, dropped or misspelt words), and the item's answer is
-   looked for beside it.
+3. ``search`` projects every passage with enough of the items' words and takes each item passage with a cosine
+   of at least ``cosine``, and whatever the cosine each item with ``SHARED`` of the passage's words; each candidate is then
+   checked by aligning the words of the document and of the item (longest common subsequence of a connected passage, with
+   single replaced, dropped or misspelt words), and the item's answer is looked for beside it.
+
+Candidates are left out by counts of words only, which follow from what ``leaked`` accepts: weights grow with the number of
+documents, and a filter on them would get stricter with it.
 
 Passages of a document lie next to each other, so a projection is a difference of running sums: linear in the text. The
 items are the stated query set; they are sent to every task in blocks of at most ``BLOCK`` items, and more items
@@ -39,8 +42,9 @@ STEP = 5
 RANK = 192
 #: A candidate window has at least this share of its words in the item: a bound on what can be aligned.
 OVERLAP = 0.6
-#: And at least this share of its TF-IDF weight: what a passage shares with its like is common words.
-WEIGHT = 0.45
+#: A window with this share of them is a candidate at any cosine: of 20 words with 16 in the item, the nearest window, at most
+#: two words off, holds 14.
+SHARED = 0.7
 BUCKETS = 1 << 18
 BLOCK = 20_000
 #: A word in more than this share of documents has no weight.
@@ -112,7 +116,14 @@ class Items:
     windows: np.ndarray | None = None
     owner: np.ndarray | None = None
     members: np.ndarray | None = None
-    sizes: np.ndarray | None = None
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.array([int(own.sum()) for own in self.counted])
+
+    def least(self, share: float) -> np.ndarray:
+        """How many words a window has in each item at least, if it has ``share`` of its words there or is the whole item."""
+        return np.minimum(share * WORDS, 0.85 * self.sizes)
 
     def coded(self, words: list[str]) -> np.ndarray:
         get = self.codes.get
@@ -163,7 +174,7 @@ def _starts(n: int) -> np.ndarray:
 
 
 class _Weigher:
-    """Codes and running squared weights of a text's words; remembers words."""
+    """Codes and weights of a text's words, no weight for words outside the items; remembers words."""
 
     def __init__(self, items: Items):
         self.items, self.cache = items, {}
@@ -173,7 +184,8 @@ class _Weigher:
         out = []
         for w in words:
             if (got := cache.get(w)) is None:
-                got = (items.codes.get(w, -1), float(items.weight_of[bucket(w)]))
+                code = items.codes.get(w, -1)
+                got = (code, float(items.weights[code]) if code >= 0 else 0.0)
                 if len(cache) < 500_000:
                     cache[w] = got
             out.append(got)
@@ -181,15 +193,11 @@ class _Weigher:
         return table[:, 0].astype(np.int64), table[:, 1]
 
 
-def _heavy(codes: np.ndarray, weights: np.ndarray, share: float) -> np.ndarray:
-    """The windows of which at least ``share`` of the length lies in the items' words: their starts."""
+def _own(codes: np.ndarray, least: float) -> np.ndarray:
+    """The windows with at least ``least`` words of the items: their starts."""
     starts = _starts(len(codes))
-    ends = np.minimum(starts + WORDS, len(codes))
-    squares = np.r_[0.0, np.cumsum(weights**2)]
-    own = np.r_[0.0, np.cumsum(np.where(codes >= 0, weights**2, 0.0))]
-    whole = squares[ends] - squares[starts]
-    inside = own[ends] - own[starts]
-    return starts[(inside > 0) & (inside >= share**2 * whole)]
+    own = np.r_[0, np.cumsum(codes >= 0)]
+    return starts[own[np.minimum(starts + WORDS, len(codes))] - own[starts] >= max(1, least)]
 
 
 def _runs(starts: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, int, int]]:
@@ -217,12 +225,13 @@ def _add_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["row", "part"])
 
 
-def latent_basis(docs: DataFrame, text: str, items: Items, rank: int = RANK, share: float = 0.6, seed: int = 7, passes: int = 1) -> np.ndarray:
+def latent_basis(docs: DataFrame, text: str, items: Items, rank: int = RANK, seed: int = 7, passes: int = 1) -> np.ndarray:
     """Right singular vectors (words x rank) of the passages' TF-IDF matrix, by randomised range finding.
 
-    Rows are the passages of all documents with at least ``share`` of their weight in the items' words (the cosine of the
-    others with any item passage is below ``share``, so they can't be candidates) and all item passages."""
+    Rows are the passages of all documents with so many of the items' words that they may be candidates, and all item
+    passages."""
     size = len(items.codes)
+    least = float(items.least(OVERLAP).min(initial=WORDS))
     rank = min(rank, size)
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, rank)))[0] if size else np.zeros((0, 0))
 
@@ -246,7 +255,7 @@ def latent_basis(docs: DataFrame, text: str, items: Items, rank: int = RANK, sha
                 codes, weights = weigh(words_of(t))
                 if not len(codes) or codes.max() < 0:
                     continue
-                starts = _heavy(codes, weights, share)
+                starts = _own(codes, least)
                 for part, low, high in _runs(starts, len(codes)):
                     any_row = True
                     spread(codes[low:high], weights[low:high], part - low, scaled, total)
@@ -259,7 +268,7 @@ def latent_basis(docs: DataFrame, text: str, items: Items, rank: int = RANK, sha
         for w, own in zip(items.words, items.counted, strict=True):
             codes, weights = _Weigher(items)(w)
             codes = np.where(own, codes, -1)
-            starts = _heavy(codes, weights, 0.0)
+            starts = _own(codes, 1)
             if len(starts):
                 spread(codes, weights, starts, scaled, total)
         blocks = docs.select(text).mapInArrow(lambda b, x=scaled: per_task(b, x), "row int, part array<double>")
@@ -284,7 +293,6 @@ def with_windows(items: Items, basis: np.ndarray) -> Items:
     for k, (w, own) in enumerate(zip(items.words, items.counted, strict=True)):
         items.members[k, items.coded(w)[own]] = True
     items.members[:, -1] = False
-    items.sizes = np.array([int(own.sum()) for own in items.counted])
     items.windows = (windows / np.maximum(norm, 1e-12)).astype(np.float32)
     return items
 
@@ -366,17 +374,20 @@ def align(words: list[str], item: list[str], counted: np.ndarray, misspelt: Call
 LEAKS = "doc_id long, item_id long, matched int, passage int, item_words int, answer_near boolean, cosine double"
 
 
-def search(docs: DataFrame, doc_id: str, text: str, items: Items, cosine: float = 0.65, share: float = 0.6) -> DataFrame:
+def search(docs: DataFrame, doc_id: str, text: str, items: Items, cosine: float = 0.65) -> DataFrame:
     """Every (document, item) with a candidate passage, aligned; map-only."""
+    some = items.least(OVERLAP)
+    many = np.where(items.sizes >= 8, items.least(SHARED), np.inf)  # a few words are not enough without the cosine
+    bags = [Counter(x for x, ok in zip(items.coded(w).tolist(), own.tolist(), strict=True) if ok) for w, own in zip(items.words, items.counted, strict=True)]
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weigh, close = _Weigher(items), {}
+        weigh, spelt = _Weigher(items), {}
 
         def misspelt(w: str) -> list[str]:
-            if (got := close.get(w)) is None:
-                got = close[w] = items.misspelt(w)
-                if len(close) > 500_000:
-                    close.clear()
+            if (got := spelt.get(w)) is None:
+                got = spelt[w] = items.misspelt(w)
+                if len(spelt) > 500_000:
+                    spelt.clear()
             return got
 
         for batch in batches:
@@ -388,7 +399,7 @@ def search(docs: DataFrame, doc_id: str, text: str, items: Items, cosine: float
                 codes, weights = weigh(words)
                 if not len(codes) or codes.max() < 0 or not len(items.windows):
                     continue
-                starts = _heavy(codes, weights, share)
+                starts = _own(codes, some.min())
                 if not len(starts):
                     continue
                 spots: dict[int, list[int]] = {}
@@ -397,18 +408,22 @@ def search(docs: DataFrame, doc_id: str, text: str, items: Items, cosine: float
                     got = _project(codes[low:high], part - low, items.basis)
                     got /= np.maximum(np.linalg.norm(got, axis=1, keepdims=True), 1e-12)
                     likeness = got.astype(np.float32) @ items.windows.T
-                    row, column = np.nonzero(likeness >= cosine)
-                    own = np.minimum(part[row][:, None] + np.arange(WORDS), len(codes) - 1)
-                    shared = items.members[items.owner[column][:, None], codes[own]].sum(1)
-                    kept = shared >= np.minimum(OVERLAP * WORDS, 0.85 * items.sizes[items.owner[column]])
-                    row, column, own = row[kept], column[kept], own[kept]
-                    inside = items.members[items.owner[column][:, None], codes[own]]
-                    squares = weights[own] ** 2
-                    kept = (squares * inside).sum(1) >= WEIGHT * squares.sum(1)
-                    row, column = row[kept], column[kept]
-                    for s, k, c in zip(part[row].tolist(), items.owner[column].tolist(), likeness[row, column].tolist(), strict=True):
-                        spots.setdefault(k, []).append(s)
-                        nearest[k] = max(c, nearest.get(k, 0.0))
+                    shared = np.zeros((len(part), len(items.ids)), np.int8)
+                    for at in range(WORDS):
+                        inside = part + at < len(codes)
+                        shared[inside] += items.members[:, codes[part[inside] + at]].T
+                    row, column = np.nonzero((likeness >= cosine) & (shared >= some)[:, items.owner])
+                    close: dict[tuple[int, int], float] = {}
+                    for w, k, c in zip(row.tolist(), items.owner[column].tolist(), likeness[row, column].tolist(), strict=True):
+                        close[w, k] = max(c, close.get((w, k), 0.0))
+                    for w, k in zip(*(x.tolist() for x in np.nonzero(shared >= many)), strict=True):
+                        if (w, k) not in close:
+                            close[w, k] = float(likeness[w, items.owner == k].max())
+                    for (w, k), c in close.items():
+                        own = Counter(codes[part[w] : part[w] + WORDS].tolist())
+                        if sum(min(n, own[x]) for x, n in bags[k].items() if x in own) >= (some if c >= cosine else many)[k]:
+                            spots.setdefault(k, []).append(int(part[w]))
+                            nearest[k] = max(c, nearest.get(k, 0.0))
                 for k, places in sorted(spots.items()):
                     item = items.words[k]
                     best = (0, 0, 0, 0)

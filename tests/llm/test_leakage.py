@@ -58,3 +58,21 @@ def test_alignment_matches_brute_force():
                     n += 1
                 best = max(best, n)
         assert matched >= best
+
+
+def test_changed_words_do_not_hide_a_passage_in_a_large_corpus(spark):
+    rows = [(i, t, a) for i, t, a, _ in ITEMS]
+    texts = documents()
+    for i in range(20, 30):
+        part = ITEMS[i][1].split()[10:30]
+        for k in (3, 8, 12, 17):
+            part[k] = f"unseen{i}x{k}"
+        texts.append((300 + i, " ".join(f"plain{k}" for k in range(40)) + " " + " ".join(part)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    counts, total = leakage.document_frequencies(docs, "text")
+    for word in (w for i in range(20, 30) for k in (3, 8, 12, 17) for w in [f"unseen{i}x{k}"]):
+        counts[leakage.bucket(word)] = 0
+    items = leakage.prepare_items(rows, counts * 20_000, total * 20_000)
+    items = leakage.with_windows(items, leakage.latent_basis(docs, "text", items))
+    got = {(r.doc_id, r.item_id) for r in leakage.leaked(leakage.search(docs, "doc_id", "text", items)).collect()}
+    assert {(300 + i, i) for i in range(20, 30)} <= got
