@@ -317,8 +317,8 @@ def _alike(a: str, b: str) -> bool:
     return previous[-1] <= most
 
 
-def align(words: list[str], item: list[str], counted: np.ndarray, misspelt: Callable[[str], list[str]] = lambda w: []) -> tuple[int, int, int, int]:
-    """The best connected passage: (matched words, length in the item, start, end in ``words``).
+def _path(words: list[str], item: list[str], counted: np.ndarray, misspelt: Callable[[str], list[str]] = lambda w: [], used: frozenset = frozenset()) -> list[tuple[int, int]]:
+    """The matched places (in ``words``, in the item) of the best connected passage without the pairs ``used``.
 
     Local alignment: a match counts 1, a replaced word -1.2, a dropped or added one -0.8."""
     m = len(item)
@@ -328,54 +328,97 @@ def align(words: list[str], item: list[str], counted: np.ndarray, misspelt: Call
             place.setdefault(w, []).append(j)
     score = np.zeros(m + 1)
     gap_costs = 0.8 * np.arange(m + 1)
-    matched = np.zeros((2, m + 1), np.int32)
-    begin = np.tile(np.arange(m + 1, dtype=np.int32), (2, 1))
-    begin_doc = np.zeros((2, m + 1), np.int32)
-    best, found = 0.0, (0, 0, 0, 0)
-    for i, w in enumerate(words, 1):
+    same = np.zeros((len(words) + 1, m), bool)
+    moves = np.zeros((len(words) + 1, m + 1), np.int8)  # 1 both, 2 a word of the text, 3 a word of the item, 0 starts here
+    best, i, j = 0.0, 0, 0
+    for n, w in enumerate(words, 1):
         hits = place.get(w)
         if hits is None:
-            hits = [j for x in misspelt(w) for j in place.get(x, ())]
-        same = np.zeros(m)
-        if hits:
-            same[hits] = 1.0
-        new = np.empty(m + 1)
-        new[0] = 0.0
-        diagonal = score[:-1] + np.where(same > 0, 1.0, -1.2)
+            hits = [x for y in misspelt(w) for x in place.get(y, ())]
+        if used:
+            hits = [x for x in hits if (n - 1, x) not in used]
+        same[n, hits] = True
+        diagonal = score[:-1] + np.where(same[n], 1.0, -1.2)
         up = score[1:] - 0.8
-        take_up = up > diagonal
+        new = np.zeros(m + 1)
         new[1:] = np.maximum(np.maximum(diagonal, up), 0.0)
-        old_b, old_d, old_k = begin[(i - 1) & 1], begin_doc[(i - 1) & 1], matched[(i - 1) & 1]
-        b = np.empty(m + 1, np.int32)
-        d = np.empty(m + 1, np.int32)
-        k = np.empty(m + 1, np.int32)
-        b[0], d[0], k[0] = 0, i, 0
-        b[1:] = np.where(take_up, old_b[1:], old_b[:-1])
-        d[1:] = np.where(take_up, old_d[1:], old_d[:-1])
-        k[1:] = np.where(take_up, old_k[1:], old_k[:-1] + (same > 0))
-        fresh = new <= 0
-        b[fresh] = np.arange(m + 1)[fresh]
-        d[fresh], k[fresh] = i, 0
-        lifted = new + gap_costs
-        top = np.maximum.accumulate(lifted)
-        left = top - gap_costs > new + 1e-9
-        if left.any():
-            source = np.maximum.accumulate(np.where(lifted >= top - 1e-12, np.arange(m + 1), 0))
-            new = np.where(left, top - gap_costs, new)
-            b, d, k = np.where(left, b[source], b), np.where(left, d[source], d), np.where(left, k[source], k)
-        begin[i & 1], begin_doc[i & 1], matched[i & 1] = b, d, k
-        score = new
-        j = int(new.argmax())
-        if new[j] > best:
-            best, found = float(new[j]), (int(k[j]), j - int(b[j]), int(d[j]), i)
-    return found
+        moves[n, 1:] = np.where(new[1:] <= 0, 0, np.where(up > diagonal, 2, 1))
+        top = np.maximum.accumulate(new + gap_costs) - gap_costs
+        left = top > new + 1e-9
+        moves[n, left] = 3
+        score = np.where(left, top, new)
+        k = int(score.argmax())
+        if score[k] > best:
+            best, i, j = float(score[k]), n, k
+    matched = []
+    while move := moves[i, j]:
+        if move == 1 and same[i, j - 1]:
+            matched.append((i - 1, j - 1))
+        i, j = i - (move != 3), j - (move != 2)
+    return matched[::-1]
+
+
+def align(words: list[str], item: list[str], counted: np.ndarray, misspelt: Callable[[str], list[str]] = lambda w: []) -> tuple[int, int, int, int]:
+    """The best connected passage: (matched words, length in the item, start, end in ``words``)."""
+    return _extent(_path(words, item, counted, misspelt))
+
+
+def _extent(path: list[tuple[int, int]]) -> tuple[int, int, int, int]:
+    return (len(path), path[-1][1] - path[0][1] + 1, path[0][0], path[-1][0] + 1) if path else (0, 0, 0, 0)
+
+
+#: A passage counts with so many matched words, over so many words of the item, and this share of them.
+LEAST, PASSAGE, DENSE = 16, 18, 0.75
+
+
+def _accepted(matched: int, passage: int, item_words: int) -> bool:
+    return (item_words < WORDS and matched >= 0.85 * item_words) or (matched >= LEAST and passage >= PASSAGE and matched >= DENSE * passage)
+
+
+def _part(path: list[tuple[int, int]]) -> tuple[int, int, int, int] | None:
+    """The longest part of a path that counts by itself."""
+    at = np.array([j for _, j in path])
+    for n in range(len(path), LEAST - 1, -1):
+        spans = at[n - 1 :] - at[: len(at) - n + 1] + 1
+        fit = np.flatnonzero((spans >= PASSAGE) & (n >= DENSE * spans))
+        if len(fit):
+            return _extent(path[fit[0] : fit[0] + n])
+    return None
+
+
+def best_passage(words: list[str], item: list[str], counted: np.ndarray, misspelt: Callable[[str], list[str]] = lambda w: []) -> tuple[int, int, int, int]:
+    """As ``align``, but of all connected passages and their parts one that counts, if there is one: a path that fails as a whole
+    may hold a part that doesn't, and without its pairs other paths come to light, until no path has enough words."""
+    size = int(counted.sum())
+    used: set[tuple[int, int]] = set()
+    first = None
+    while True:
+        path = _path(words, item, counted, misspelt, frozenset(used))
+        got = _extent(path)
+        first = first or got
+        if _accepted(got[0], got[1], size):
+            return got
+        if part := _part(path):
+            return part
+        if len(path) < LEAST:
+            return first
+        used |= set(path)
+
+
+def _stretches(low: int, high: int, reach: int) -> Iterator[tuple[int, int]]:
+    """Words ``low`` to ``high`` in overlapping stretches of some thousand words, so that an alignment stays small."""
+    length = max(2048, 4 * reach)
+    while high - low > length:
+        yield low, low + length
+        low += length - 2 * reach
+    yield low, high
 
 
 LEAKS = "doc_id long, item_id long, matched int, passage int, item_words int, answer_near boolean, cosine double"
 
 
 def search(docs: DataFrame, doc_id: str, text: str, items: Items, cosine: float = 0.65) -> DataFrame:
-    """Every (document, item) with a candidate passage, aligned; map-only."""
+    """Every (document, item) with a candidate passage, aligned: a passage that counts before a longer one that doesn't; map-only."""
     some = items.least(OVERLAP)
     many = np.where(items.sizes >= 8, items.least(SHARED), np.inf)  # a few words are not enough without the cosine
     bags = [Counter(x for x, ok in zip(items.coded(w).tolist(), own.tolist(), strict=True) if ok) for w, own in zip(items.words, items.counted, strict=True)]
@@ -426,7 +469,7 @@ def search(docs: DataFrame, doc_id: str, text: str, items: Items, cosine: float
                             nearest[k] = max(c, nearest.get(k, 0.0))
                 for k, places in sorted(spots.items()):
                     item = items.words[k]
-                    best = (0, 0, 0, 0)
+                    best, size = (0, 0, 0, 0), int(items.counted[k].sum())
                     places = sorted(set(places))
                     reach = len(item) + WORDS
                     while places:
@@ -434,13 +477,14 @@ def search(docs: DataFrame, doc_id: str, text: str, items: Items, cosine: float
                         while places and places[0] - last <= reach:
                             last = places.pop(0)
                         low, high = max(0, first - reach), min(len(words), last + WORDS + reach)
-                        got = align(words[low:high], item, items.counted[k], misspelt)
-                        if got[0] > best[0]:
-                            best = (got[0], got[1], got[2] + low, got[3] + low)
+                        for start, end in _stretches(low, high, reach):
+                            got = best_passage(words[start:end], item, items.counted[k], misspelt)
+                            if (_accepted(got[0], got[1], size), got[0]) > (_accepted(best[0], best[1], size), best[0]):
+                                best = (got[0], got[1], got[2] + start, got[3] + start)
                     answer = items.answers[k]
                     around = words[max(0, best[2] - 30) : best[3] + 30]
                     near = bool(answer) and any(around[p : p + len(answer)] == answer for p in range(len(around) - len(answer) + 1))
-                    rows.append((d, items.ids[k], best[0], best[1], int(items.counted[k].sum()), near, nearest[k]))
+                    rows.append((d, items.ids[k], best[0], best[1], size, near, nearest[k]))
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], [c.split()[0] for c in LEAKS.split(", ")])
 
@@ -462,8 +506,8 @@ def candidates(docs: DataFrame, doc_id: str, text: str, evals: DataFrame, item_i
     return out
 
 
-def leaked(found: DataFrame, least: int = 16, passage: int = 18) -> DataFrame:
+def leaked(found: DataFrame, least: int = LEAST, passage: int = PASSAGE) -> DataFrame:
     """``doc_id, item_id``: the whole item, or a connected passage of about twenty of its words."""
     whole = (F.col("item_words") < WORDS) & (F.col("matched") >= 0.85 * F.col("item_words"))
-    part = (F.col("matched") >= least) & (F.col("passage") >= passage) & (F.col("matched") >= 0.75 * F.col("passage"))
+    part = (F.col("matched") >= least) & (F.col("passage") >= passage) & (F.col("matched") >= DENSE * F.col("passage"))
     return found.where(whole | part).select("doc_id", "item_id").distinct()

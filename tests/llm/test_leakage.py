@@ -76,3 +76,22 @@ def test_changed_words_do_not_hide_a_passage_in_a_large_corpus(spark):
     items = leakage.with_windows(items, leakage.latent_basis(docs, "text", items))
     got = {(r.doc_id, r.item_id) for r in leakage.leaked(leakage.search(docs, "doc_id", "text", items)).collect()}
     assert {(300 + i, i) for i in range(20, 30)} <= got
+
+
+def test_every_connected_passage_is_judged(spark):
+    filler = " ".join(f"plain{k}" for k in range(40))
+    words = {i: ITEMS[i][1].split() for i in (21, 22, 23, 25)}
+    words[24] = [f"{VOCABULARY[k * 7 % len(VOCABULARY)]}{k}" for k in range(75)]
+    loose = [w if k % 5 < 3 else f"other{k}" for k, w in enumerate(words[24][:45])]
+    items = [(i, " ".join(w), None) for i, w in words.items()]
+    items.append((26, " ".join(f"w{k}" for k in range(75)), None))
+    left_out = [f"w{k}" for k in range(75) if not 25 <= k < 47]
+    replaced = [f"w{k}" if not 28 <= k < 47 else f"new{k}" for k in range(75)]
+    docs = [(k, filler) for k in range(40)]
+    docs += [(100, " ".join([filler, *left_out, filler])), (101, " ".join([filler, *replaced, filler]))]
+    docs += [(102, " ".join([filler, *loose, filler, filler, filler, filler, *words[24][50:70], filler]))]
+    docs += [(103, " ".join([filler, *loose, filler]))]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    evals = spark.createDataFrame(items, "item_id long, text string, answer string")
+    got = {(r.doc_id, r.item_id) for r in leakage.leaked(leakage.candidates(docs, "doc_id", "text", evals, "item_id", "text", "answer")).collect()}
+    assert got == {(100, 26), (101, 26), (102, 24)}
