@@ -6,9 +6,9 @@ characters it stands for. Identifiers are detected in the normal form; their spa
 replaces exactly the disguised source text and everything else stays as it is.
 
 Names need a lexicon: ``name_lexicon`` learns given and family names over all texts from what follows unmistakable
-introductions ("customer:", "my name is", "signed by", titles), counted by name, and ``find`` takes a name
-where an introduction or the lexicon supports both of its parts. The lexicon is bounded by ``LEXICON`` entries, the most
-frequent ones.
+introductions ("customer:", "my name is", "signed by", titles), counted by name, and ``find`` takes a properly written
+name where an introduction or the lexicon supports both of its parts. A lexicon of at most ``LEXICON`` entries goes to the
+tasks; texts are joined with a larger one (``scan_learned``), to the same result.
 
 Defined results: null texts have none; a name inside an e-mail address does not count; overlapping finds go to the
 first kind of ``KINDS``; repeated rows are reported each; long texts are read whole.
@@ -105,6 +105,7 @@ _INTRODUCTION = (
 )
 _AFTER_NAME = r"\s+(?i:promised me|called me|wrote to me|was very helpful|war sehr hilfreich|a été très|fue muy|hat mir|m'a promis|me prometió|me llamó)\b"
 _PART = r"\p{L}[\p{L}'’]+(?:-\p{L}[\p{L}'’]+)*"
+_PARTS = regex.compile(_PART)
 _NAME = rf"(?:{_PART},\s*(?:{_PART}|\p{{L}}\.)|(?:{_PART}|\p{{L}}\.)\s+(?:\p{{L}}\.\s*){{0,2}}{_PART}(?:\s+(?:de|del|von|van|der|y|la)\s+{_PART})?)"
 _INTRODUCED = regex.compile(rf"(?:{_INTRODUCTION})\s*{_TITLE}*(?P<n>{_NAME})|(?<![\p{{L}}]){_TITLE}+(?P<n>{_NAME})|(?<![\p{{L}}])(?P<n>{_NAME})(?={_AFTER_NAME})")
 #: Some part of every introduction: a text without any has no introduced name.
@@ -234,8 +235,8 @@ def introduced(text: str) -> Iterator[tuple[str, str]]:
             yield parts
 
 
-def name_lexicon(df: DataFrame, columns: list[str], least: int = 2) -> tuple[frozenset, frozenset]:
-    """(given names, family names), folded, seen at least ``least`` times after an introduction, in all texts."""
+def learned_names(df: DataFrame, columns: list[str], least: int = 2) -> DataFrame:
+    """``role, word, n``: given (g) and family names (f), folded, seen at least ``least`` times after an introduction, in all texts."""
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -255,7 +256,15 @@ def name_lexicon(df: DataFrame, columns: list[str], least: int = 2) -> tuple[fro
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([seen[k] for k in keys], pa.int64())], ["role", "word", "n"])
 
     counts = df.select(*columns).mapInArrow(per_task, "role string, word string, n long").groupBy("role", "word").agg(F.sum("n").alias("n"))
-    found = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(LEXICON).collect()
+    return counts.where(F.col("n") >= least)
+
+
+def name_lexicon(df: DataFrame, columns: list[str], least: int = 2) -> tuple[frozenset, frozenset]:
+    """(given names, family names) of ``learned_names``, the ``LEXICON`` most frequent ones."""
+    return _by_role(learned_names(df, columns, least).orderBy(F.desc("n"), "word").limit(LEXICON).collect())
+
+
+def _by_role(found: list) -> tuple[frozenset, frozenset]:
     return frozenset(r.word for r in found if r.role == "g"), frozenset(r.word for r in found if r.role == "f")
 
 
@@ -283,9 +292,6 @@ def find(source: str, given: frozenset = frozenset(), family: frozenset = frozen
                 phones.append(m.span())
         take("phone", phones)
         take("address", [m.span() for m in _ADDRESS.finditer(text)])
-    words = set(_NAME_WORD.findall(text.casefold()))
-    if (given or family) and words.isdisjoint(given) and words.isdisjoint(family):
-        return sorted(((k, *normal.source_span(s, e)) for k, s, e in found), key=lambda x: x[1])
     names: list[tuple[int, int]] = []
     for m in _INTRODUCED.finditer(text, overlapped=True) if _CUE.search(text) else ():
         start, end = m.span("n")
@@ -293,9 +299,9 @@ def find(source: str, given: frozenset = frozenset(), family: frozenset = frozen
         if parts is None or any(s < end and start < e for s, e in names):
             continue
         known = parts[1] in family or parts[0] in given or (parts[1] in given and parts[0] in family)
-        if (_proper(text[start:end]) and (known or not given)) or (known and parts[1] in family and (parts[0] in given or len(parts[0]) == 1)):
+        if _proper(text[start:end]) or (known and parts[1] in family and (parts[0] in given or len(parts[0]) == 1)):
             names.append((start, end))
-    if family:
+    if family and not family.isdisjoint(_NAME_WORD.findall(text.casefold())):
         for m in _ANY_NAME.finditer(text, overlapped=True):
             start, end = m.span("n")
             parts = _parts(text[start:end])
@@ -335,3 +341,38 @@ def scan(df: DataFrame, row_id: str, columns: list[str], lexicon: tuple[frozense
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.string())), pa.array([r[3] for r in rows], pa.string())], ["row_id", "field", "kinds", "redacted"])
 
     return df.select(F.col(row_id).cast("long").alias("row_id"), *columns).mapInArrow(per_task, "row_id long, field string, kinds array<string>, redacted string")
+
+
+def _candidates(text: str) -> set[tuple[str, str]]:
+    """(role, word) of everything in a text that the lexicon may know: all that ``find`` may look up there."""
+    plain = Normal(text).text
+    words = {w for x in (*_NAME_WORD.findall(plain), *_PARTS.findall(plain)) for w in (x, *x.split("-"))}
+    return {(role, w.casefold()) for w in words if len(w) > 1 for role in "gf"}
+
+
+def scan_learned(df: DataFrame, row_id: str, columns: list[str], least: int = 2) -> DataFrame:
+    """``scan`` with all learned names: sent to the tasks if they are few, else each text meets those it holds in a join."""
+    learned = learned_names(df, columns, least)
+    few = learned.limit(LEXICON + 1).collect()
+    if len(few) <= LEXICON:
+        return scan(df, row_id, columns, _by_role(few))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, *c) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for c in sorted(_candidates(t))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["k", "role", "word"])
+
+    texts = df.select(F.col(row_id).cast("long").alias("row_id"), F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("t")) for c in columns])).alias("x")).select("row_id", "x.*").where("t is not null").withColumn("k", F.sha2(F.col("t").cast("binary"), 256))
+    held = texts.select("k", "t").dropDuplicates(["k"]).mapInArrow(words, "k string, role string, word string")
+    known = held.join(learned.select("role", "word"), ["role", "word"]).groupBy("k").agg(F.collect_set(F.when(F.col("role") == "g", F.col("word"))).alias("g"), F.collect_set(F.when(F.col("role") == "f", F.col("word"))).alias("f"))
+
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, name, t, g, f in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                got = find(t, frozenset(g or ()), frozenset(f or ()))
+                rows.append((i, name, sorted({x[0] for x in got}), redact(t, got)))
+            kinds = (pa.int64(), pa.string(), pa.list_(pa.string()), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["row_id", "field", "kinds", "redacted"])
+
+    return texts.join(known, "k", "left").select("row_id", "field", "t", "g", "f").mapInArrow(per_task, "row_id long, field string, kinds array<string>, redacted string")

@@ -59,7 +59,7 @@ _PII_FIELDS = ["prompt_text", "baseline_text"]
 def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of the two fields with typed placeholders, and the kinds found in it."""
     rows = spread(read_table(spark, sf_dir, "row_results").select("row_id", *_PII_FIELDS))
-    return pii.scan(rows, "row_id", _PII_FIELDS, pii.name_lexicon(rows, _PII_FIELDS))
+    return pii.scan_learned(rows, "row_id", _PII_FIELDS)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,3 +52,19 @@ def test_table(spark):
     got = sorted((r.row_id, r.field, tuple(r.kinds), r.redacted) for r in pii.scan(df, "row_id", ["a", "b"], lexicon).collect())
     assert got == [(1, "a", ("name",), "customer: [NAME]"), (2, "a", ("name",), "signed by [NAME]"), (2, "a", ("name",), "signed by [NAME]"), (2, "b", ("name",), "[NAME]"), (2, "b", ("name",), "[NAME]"), (3, "b", (), "")]
     assert pii.scan(df.limit(0), "row_id", ["a", "b"], pii.name_lexicon(df.limit(0), ["a"])).count() == 0
+
+
+@pytest.mark.parametrize("text", ["My name is Orsolya Vetterlund and I wait.", "Customer: Orsolya Vetterlund", "signed by Orsolya Vetterlund"])
+def test_introduced_names_need_no_lexicon(text):
+    for lexicon in (LEXICON, (frozenset(), frozenset())):
+        assert [(k, text[s:e]) for k, s, e in pii.find(text, *lexicon)] == [("name", "Orsolya Vetterlund")]
+
+
+def test_a_lexicon_beyond_the_bound_gives_the_same(spark, monkeypatch):
+    rows = [(k, f"customer: {g} {f}", f"I met {g} {f} and Ada Quell-Norring there", "x") for k, (g, f) in enumerate([("Hugo", "Stanvick"), ("Hugo", "Stanvick"), ("Amara", "Ibarrola-Finch"), ("Amara", "Ibarrola-Finch"), ("Ada", "Quell-Norring"), ("Ada", "Quell-Norring"), ("Orla", "Single")])] + [(1, None, "O'Hara, Hugo", "x"), (8, "", "Plain text", "x")]
+    df = spark.createDataFrame(rows, "row_id long, a string, b string, kinds string")
+    found = lambda: sorted((r.row_id, r.field, tuple(r.kinds), r.redacted) for r in pii.scan_learned(df, "row_id", ["a", "b"]).collect())
+    small = found()
+    monkeypatch.setattr(pii, "LEXICON", 1)
+    assert found() == small
+    assert (0, "b", ("name",), "I met [NAME] and [NAME] there") in small and (6, "a", ("name",), "customer: [NAME]") in small
