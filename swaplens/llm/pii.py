@@ -34,6 +34,7 @@ _LOOKALIKE = dict(zip("аеорсухіјѕԁһԛԝАВЕКМНОРСТХІЈЅ
 _HIDDEN = frozenset("­​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣﻿")
 #: Digits in words.
 _DIGITS = {w: str(d) for d, words in enumerate(("zero oh null nul zéro cero", "one eins un une uno", "two zwei zwo deux dos", "three drei trois tres", "four vier quatre cuatro", "five fünf cinq cinco", "six sechs seis", "seven sieben sept siete", "eight acht huit ocho", "nine neun neuf nueve")) for w in words.split()}
+_LETTERS = re.compile(r"[^\W\d_]+")
 _SPELLED = regex.compile(r"(?i)\b(?:(?:plus\s+)?(?:" + "|".join(_DIGITS) + r")\b[\s,.-]*){7,}")
 _AT = r"(?:\s*@\s*|\s*[\[({<]\s*(?:at|arroba|arobase|ät)\s*[\])}>]\s*)"
 _AT_WORD = r"(?:\s+(?:at|arroba|arobase)\s+)"
@@ -170,7 +171,9 @@ class Normal:
 
     def _spell(self) -> None:
         """Runs of seven or more spelled digits as digits."""
-        found = list(_SPELLED.finditer(self.text)) if any(w in self.text.lower() for w in ("zero", "null", "three", "drei", "tres", "trois", "five", "fünf", "cinq", "cinco")) else []
+        if sum(map(_DIGITS.__contains__, _LETTERS.findall(self.text.lower()))) < 7:
+            return
+        found = list(_SPELLED.finditer(self.text))
         if not found:
             return
         n = len(self.text)

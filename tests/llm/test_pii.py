@@ -68,3 +68,10 @@ def test_a_lexicon_beyond_the_bound_gives_the_same(spark, monkeypatch):
     monkeypatch.setattr(pii, "LEXICON", 1)
     assert found() == small
     assert (0, "b", ("name",), "I met [NAME] and [NAME] there") in small and (6, "a", ("name",), "customer: [NAME]") in small
+
+
+@pytest.mark.parametrize(("kind", "part"), [("phone", "six one two four seven eight nine two one two"), ("phone", "zéro six un deux quatre sept huit neuf un deux"), ("phone", "OH SIX ONE TWO FOUR SEVEN EIGHT NINE ONE TWO"), ("id_number", "DNI seis uno dos cero cuatro siete ocho nueve")])
+def test_spelled_digits_without_zero_three_or_five(kind, part):
+    text = f"Please note: {part}, thank you."
+    assert [k for k, *_ in pii.find(text, *LEXICON)] == [kind]
+    assert pii.redact(text, pii.find(text, *LEXICON)).startswith(f"Please note: [{kind.upper()}]")
