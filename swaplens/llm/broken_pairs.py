@@ -31,7 +31,7 @@ PLACEHOLDERS = frozenset("n/a|na|n.a.|null|none|nil|nan|undefined|empty|no conte
 _CONTENT = regex.compile(r"[\p{L}\p{N}]")
 _TAGS = re.compile(r"<[^<>]{0,200}>|```[a-z]*|&nbsp;|&#\d+;")
 
-#: How an assistant declines, by language; searched in the first sentences.
+#: How an assistant declines, by language.
 _OBJECT_EN = r"(?:that|this|it|you|these|those|the|such|your|any|an|a|here|on|with|to|help|assist|answer|comply|process|produce|provide|write|writing|work|carry|complete|fulfil\w*|do|doing|give|giving|be|discuss|engage|continue|respond|create|generate|share|support|go|take|handle|deal|read|look|review|translate|summari[sz]e|classify|rewrite|explain|extract|try|trying|proceed|meet|accept|attempt|perform|offer|say|tell|make|pursue|serve|address|touch|follow)\b"
 REFUSALS = {
     "en": [
@@ -79,6 +79,13 @@ REFUSALS = {
     ],
 }
 _REFUSAL = {code: regex.compile("(?i)" + "|".join(f"(?:{x})" for x in patterns)) for code, patterns in REFUSALS.items()}
+#: What is said around a refusal (thanks, regrets, the request again, reasons, offers), by language.
+_AROUND = regex.compile(
+    r"(?i)\b(?:thanks?|sorry|apologi[sz]e|apologies|regret|unfortunately|appreciate|(?:you|your) (?:ask(?:ed)?|want(?:ed)?|request(?:ed)?|request|question|message|understanding|patience|interest)|(?:this|the|such a|that) (?:request|topic|kind of)|guidelines|polic(?:y|ies)|principles|(?:not )?(?:allowed|permitted) to|(?:harm(?:ful)?|unsafe|inappropriate|misuse)|(?:i|we)(?:'m| am|'d| would| are)? (?:be )?(?:happy|glad|can help|could help|can offer|hope|understand|know|have to|must|need to|follow|take|avoid|believe)|instead|please (?:consult|contact|ask|turn|reach)|feel free|the reason"
+    r"|danke|vielen dank|leid|entschuldig\w*|bedau[er]\w*|leider|(?:ihre|deine|diese|die) (?:anfrage|frage|bitte|nachricht)|(?:sie|du) (?:haben|hast|möchten|möchtest|wollen|willst|bitten|bittest)|richtlinien|vorgaben|grundsätze\w*|stattdessen|gerne?|verständnis|der grund|(?:ich|wir) (?:hoffe|verstehe|muss|müssen|halte|vermeide)|wenden sie sich"
+    r"|merci|désolée?|regrette|malheureusement|(?:votre|ta|cette) (?:demande|question|message)|(?:vous m'avez|vous avez|tu m'as|vous me|tu me|vous souhaitez) |consignes|directives|volontiers|compréhension|la raison|à la place|je (?:comprends|dois|reste|préfère|sais|peux)"
+    r"|gracias|siento|lamento|disculpa\w*|desafortunadamente|lamentablemente|(?:su|tu|esta) (?:solicitud|petición|pregunta|mensaje)|(?:me has|me ha|usted me|quieres|quiere) |directrices|normas|políticas|en su lugar|con gusto|comprensión|la razón|el motivo|(?:entiendo|comprendo|espero|puedo ayudar))\b"
+)
 _SENTENCE = regex.compile(r"(?<=[.!?。])\s+")
 _QUOTED = regex.compile(r"[“„«\"][^“”„«»\"]{12,}[”“»\"]|^>.*$", regex.M)
 _CODE = re.compile(r"```[\s\S]*?(?:```|$)|`[^`\n]*`|https?://\S+|\S+@\S+")
@@ -98,13 +105,22 @@ def is_empty(text: str | None) -> bool:
 
 
 def is_refusal(text: str) -> bool:
-    """Declines in the first person in its first sentences, and does little else."""
-    words = text.replace("’", "'").replace("`", "'").split()
-    if len(words) > 60:
+    """Declines in the first person, and does little else: a short answer in its first sentences, any answer if at most half
+    of its words are neither in declining sentences nor in what is said around them."""
+    plain = text.replace("’", "'").replace("`", "'")
+    words = plain.split()
+    if len(words) <= 60 and _declines(" ".join(_SENTENCE.split(" ".join(words).strip("*_\"“”'>"))[:2])):
+        return True
+    if not _declines(" ".join(words)):
         return False
-    plain = " ".join(words).strip("*_\"“”'>")
-    head = " ".join(_SENTENCE.split(plain)[:2])
-    return any(p.search(head) for p in _REFUSAL.values())
+    sentences = [" ".join(x.split()) for x in _SENTENCE.split(_QUOTED.sub(" ", plain))]
+    declining = [_declines(x) for x in sentences]
+    rest = sum(len(x.split()) for x, no in zip(sentences, declining, strict=True) if not no and not _AROUND.search(x))
+    return any(declining) and rest <= 0.5 * sum(len(x.split()) for x in sentences)
+
+
+def _declines(text: str) -> bool:
+    return any(p.search(text) for p in _REFUSAL.values())
 
 
 _MARKS = regex.compile(r"[\s\p{P}\p{S}\p{Cf}]+")

@@ -62,3 +62,16 @@ def test_table(spark):
 
     assert found(df) == [(1, "target", "truncated"), (5, "baseline", "truncated"), (5, "baseline", "truncated")]
     assert found(df.limit(0)) == []
+
+
+LONG_REFUSAL = "Thank you for your message and for the notes. I understand that you want a short gist of them for the meeting. After reading them I have to tell you that I cannot help with this request. The reason is that the notes name people whose consent to such a use is not known, and I follow principles that protect them. I must treat every such text alike, whoever sends it and whatever it is meant for. I hope you understand. Please ask the people named for their consent, and feel free to come back with another text."
+
+
+@pytest.mark.parametrize("text", [LONG_REFUSAL, "Thank you for the notes. You asked me for the gist of them. I'm afraid I can't help with that.", "Vielen Dank für die Notizen. Sie haben mich um eine Zusammenfassung gebeten. Das kann ich leider nicht übernehmen."])
+def test_refusals_that_decline_late_or_at_length(text):
+    assert broken_pairs.judge(PROMPT, text, False)[0] == "refusal"
+
+
+def test_an_answer_that_also_declines_something_is_no_refusal():
+    text = "The report lists twenty rows and groups them by category. Nobody noticed the longer preamble until Monday. The rows of the second group hold the late parcels, the third one the returns. I can't say which category is the largest."
+    assert not broken_pairs.is_refusal(text) and not broken_pairs.is_refusal(text + " " + text)
