@@ -4,7 +4,8 @@ Latent semantic retrieval over passages (windows of words), with exact checks af
 
 1. ``document_frequencies`` counts, over all documents, in how many each hashed word occurs.
 2. ``latent_basis`` is a randomised SVD of the TF-IDF matrix of all passages of corpus and evaluation items, over the
-   words of the items: two passes of the range finder add up small word x rank blocks, block by block on the cluster.
+   words of the items: one pass of the range finder (``passes``) adds up small word x rank blocks, block by block on the
+   cluster; only a basis of the range is formed, since cosines do not depend on the rotation that the small SVD would add.
 3. ``search`` projects every passage with enough of the items' words and takes each item passage with a cosine
    of at least ``cosine``, and whatever the cosine each item with ``SHARED`` of the passage's words; each candidate is then
    checked by aligning the words of the document and of the item (longest common subsequence of a connected passage, with
@@ -226,7 +227,8 @@ def _add_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def latent_basis(docs: DataFrame, text: str, items: Items, rank: int = RANK, seed: int = 7, passes: int = 1) -> np.ndarray:
-    """Right singular vectors (words x rank) of the passages' TF-IDF matrix, by randomised range finding.
+    """An orthonormal basis (words x rank) of about the span of the first right singular vectors of the passages' TF-IDF matrix, by
+    randomised range finding; the vectors themselves are not formed.
 
     Rows are the passages of all documents with so many of the items' words that they may be candidates, and all item
     passages."""
