@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -41,7 +43,9 @@ def shared_folder(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local[") and master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return os.path.join(tempfile.gettempdir(), f"swaplens-{uuid.uuid4().hex}")
+    folder = tempfile.mkdtemp(prefix="swaplens-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def _prepare_checkpoints(spark: SparkSession) -> None:
@@ -56,6 +60,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, by: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, in one folder per value of ``by``; compressed, and read by columns."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, factor: int = 1) -> DataFrame:
     """Row-wise work spread over the cluster when the input has fewer splits than cores.
 
