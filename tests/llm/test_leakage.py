@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from swaplens.llm import leakage
 
 RNG = random.Random(11)
@@ -42,40 +44,90 @@ def test_empty_tables(spark):
         assert leakage.candidates(d, "doc_id", "text", e, "item_id", "text", "answer").count() == 0
 
 
-def test_alignment_matches_brute_force():
-    import numpy as np
+def by_hand(words, item):
+    """The best local alignment, cell by cell: its score."""
+    score = [[0.0] * (len(item) + 1) for _ in range(len(words) + 1)]
+    for i, w in enumerate(words, 1):
+        for j, x in enumerate(item, 1):
+            score[i][j] = max(0.0, score[i - 1][j - 1] + (1.0 if w == x else -1.2), score[i - 1][j] - 0.8, score[i][j - 1] - 0.8)
+    return max(max(row) for row in score)
+
+
+def path_score(path):
+    """The score of a path of matches: what lies between two matches is replaced as far as it can be, else dropped."""
+    total = float(len(path))
+    for (i, j), (k, m) in zip(path, path[1:], strict=False):
+        a, b = k - i - 1, m - j - 1
+        total -= 1.2 * min(a, b) + 0.8 * abs(a - b) if min(a, b) else 0.8 * (a + b)
+    return total
+
+
+def test_alignments_match_brute_force():
+    pairs = [([RNG.randrange(6) for _ in range(RNG.randrange(1, 25))], [RNG.randrange(6) for _ in range(RNG.randrange(1, 20))]) for _ in range(200)]
+    texts, items = [np.array([[c, -1] for c in w], np.int32) for w, _ in pairs], [np.array(x) for _, x in pairs]
+    for (w, x), score, path in zip(pairs, leakage.best_scores(texts, items), leakage.paths(texts, items), strict=True):
+        assert abs(score - by_hand(w, x)) < 1e-3
+        assert all(w[i] == x[j] for i, j in path) and sorted(path) == path
+        assert abs(path_score(path) - score) < 1e-3
+
+
+def test_the_latent_vectors_are_those_of_the_matrix():
+    rng = np.random.default_rng(3)
+    matrix = rng.standard_normal((300, 60)) @ np.diag(np.r_[20.0, 12.0, 9.0, 7.0, np.full(56, 0.05)])
+    gram = matrix.T @ matrix
+    test = np.linalg.qr(rng.standard_normal((60, 12)))[0]
+    vectors, values = leakage.nystroem(gram @ test, test, 4)
+    want = np.linalg.svd(matrix)
+    assert np.allclose(values, want[1][:4], rtol=0.01)
+    assert np.allclose(np.abs((vectors * want[2][:4].T).sum(0)), 1.0, atol=0.01)
+
 
-    for _ in range(30):
-        item = [RNG.choice("abcdefgh") for _ in range(14)]
-        words = [RNG.choice("abcdefgh") for _ in range(11)]
-        matched, length, start, end = leakage.align(words, item, np.ones(14, bool))
-        assert 0 <= matched <= min(length, end - start) and length <= 14
-        best = 0
-        for a in range(11):
-            for b in range(14):
-                n = 0
-                while a + n < 11 and b + n < 14 and words[a + n] == item[b + n]:
-                    n += 1
-                best = max(best, n)
-        assert matched >= best
+def spoilt(part, kind, k, others):
+    part = list(part)
+    for at in RNG.sample(range(1, len(part) - 1), 4):
+        part[at] = {"unseen": f"unseen{k}x{at}", "other": RNG.choice(others), "misspelt": part[at][:-1] + "q" if len(part[at]) > 3 else part[at]}[kind]
+    return part
 
 
 def test_changed_words_do_not_hide_a_passage_in_a_large_corpus(spark):
+    """Passages of 24 words with four of them replaced by new words or words of other items, or misspelt."""
     rows = [(i, t, a) for i, t, a, _ in ITEMS]
-    texts = documents()
-    for i in range(20, 30):
-        part = ITEMS[i][1].split()[10:30]
-        for k in (3, 8, 12, 17):
-            part[k] = f"unseen{i}x{k}"
-        texts.append((300 + i, " ".join(f"plain{k}" for k in range(40)) + " " + " ".join(part)))
+    others = [w for _, t, _ in rows if t for w in t.split()]
+    texts, want = documents(), set()
+    for k in range(90):
+        i = RNG.randrange(20, 30)
+        part = spoilt(ITEMS[i][1].split()[10 + k % 20 :][:24], ("unseen", "other", "misspelt")[k % 3], k, others)
+        texts.append((300 + k, " ".join(f"plain{n}" for n in range(40)) + " " + " ".join(part)))
+        want.add((300 + k, i))
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
-    counts, total = leakage.document_frequencies(docs, "text")
-    for word in (w for i in range(20, 30) for k in (3, 8, 12, 17) for w in [f"unseen{i}x{k}"]):
-        counts[leakage.bucket(word)] = 0
-    items = leakage.prepare_items(rows, counts * 20_000, total * 20_000)
-    items = leakage.with_windows(items, leakage.latent_basis(docs, "text", items))
-    got = {(r.doc_id, r.item_id) for r in leakage.leaked(leakage.search(docs, "doc_id", "text", items)).collect()}
-    assert {(300 + i, i) for i in range(20, 30)} <= got
+    items = leakage.prepare_items(rows)
+    gathered = leakage.gather(docs, "doc_id", "text", items)
+    for million in (False, True):
+        items = leakage.with_weights(items, gathered)
+        if million:  # as if each word of the items were in 20,000 times as many documents
+            counts = gathered.where("kind = 'count' and code >= 0").groupBy("code").sum("n").toPandas()
+            many = np.zeros(items.size)
+            many[counts["code"]] = counts["sum(n)"] * 20_000
+            items = leakage.weighted(items, many, len(texts) * 20_000)
+        items = leakage.build_index(items, leakage.latent_basis(gathered, items)[0])
+        found = leakage.search(gathered, items)
+        got = {(r.doc_id, r.item_id) for r in found.collect()}
+        assert len(got & want) >= 0.97 * len(want)
+        got = {(r.doc_id, r.item_id) for r in leakage.leaked(found).collect()}
+        assert len(got & want) >= 0.9 * len(want)
+
+
+def test_the_index_finds_what_all_pairs_give():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(VOCABULARY, 90)) for _ in range(400)]
+    items = leakage.prepare_items([(i, t, None) for i, t in enumerate(texts)])
+    items = leakage.weighted(items, np.full(items.size, 3.0), 1000)
+    items = leakage.build_index(items, np.linalg.qr(rng.standard_normal((items.size, 64)))[0])
+    queries = items.windows[rng.permutation(len(items.windows))[:300]] + 0.03 * rng.standard_normal((300, 64)).astype(np.float32)
+    queries /= np.linalg.norm(queries, axis=1, keepdims=True)
+    pairs = lambda probes: set(zip(*(x.tolist() for x in leakage.nearest_items(queries, items, 0.65, probes)[:2]), strict=True))
+    exact = pairs(len(items.centres))
+    assert len(pairs(leakage.PROBES) & exact) >= 0.9 * len(exact) > 0
 
 
 def test_every_connected_passage_is_judged(spark):
