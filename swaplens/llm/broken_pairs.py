@@ -42,6 +42,10 @@ REFUSALS = {
         r"\bi (?:must|have to|need to|'ll have to|will have to) (?:say no|pass|leave (?:this|that|it))\b",
         r"\b(?:contrary to|against|goes against|conflicts with|violates) (?:my|our) (?:\w+ )?(?:guidelines|rules|policy|policies|instructions|principles)\b",
         r"\bno (?:answer|reply|text) (?:can|will) be (?:given|provided|produced)\b",
+        r"\b(?:i|we) (?:choose|prefer|decide|elect|opt|have chosen|have decided) not to\b",
+        r"\b(?:i|we) (?:do not|don't|lack) (?:have )?the (?:capability|capabilities|ability|permission|authori[sz]ation)\b",
+        r"\bi'?m afraid (?:i|we) (?:can\s?not|can't|won't|will not|must decline)\b",
+        r"^(?:sorry|apologies|i'm sorry|i am sorry|unfortunately|i'm afraid)\s*[,.:;–—-]*\s*(?:but )?no\s*[.!]*$",
     ],
     "de": [
         r"\b(?:mir|uns) ist (?:es|das|dies)\b[^.!?]{0,50}?\b(?:nicht|kaum) (?:möglich|erlaubt|gestattet)\b",
@@ -54,6 +58,7 @@ REFUSALS = {
         r"\bes ist (?:mir|uns)\b[^.!?]{0,50}?\b(?:nicht möglich|unmöglich|nicht erlaubt|nicht gestattet)\b",
         r"\b(?:ich|wir) (?:muss|müssen|lehne|lehnen)\b[^.!?]{0,60}?\b(?:ablehnen|ab|absehen|verzichten|passen)\b",
         r"\bmuss (?:ich|wir)\b[^.!?]{0,60}?\b(?:ablehnen|absehen|verzichten|passen)\b",
+        r"^(?:das ist |dies ist )?(?:leider|bedauerlicherweise|tut mir leid)\s*[,.:;–—-]*\s*(?:das ist )?(?:nein|ausgeschlossen|nicht möglich|unmöglich|nicht machbar)\s*[.!]*$",
     ],
     "fr": [
         r"\bne (?:m'est|nous est) (?:malheureusement )?pas (?:possible|permis)\b",
@@ -67,6 +72,7 @@ REFUSALS = {
         r"\bje (?:dois|préfère|me vois contrainte?|suis contrainte?|suis obligée?)\s+(?:malheureusement )?(?:de |ne pas|refuser|décliner|m'abstenir)",
         r"\bje (?:refuse|décline|m'abstiens)\b",
         r"\bne (?:peux|puis)-je pas\b",
+        r"^(?:désolée?|malheureusement|je regrette)\s*[,.:;–—-]*\s*(?:mais )?(?:non|c'est impossible|impossible)\s*[.!]*$",
     ],
     "es": [
         r"\b(?:contrari[oa] a|en contra de) (?:mis|nuestras) (?:normas|reglas|instrucciones|directrices|políticas|pautas)\b",
@@ -76,6 +82,8 @@ REFUSALS = {
         r"\bme (?:es|resulta) imposible\b",
         r"\b(?:debo|tengo que|prefiero|he de)\s+(?:rechazar|declinar|negarme|abstenerme|no)\b",
         r"\bme (?:niego|abstengo)\b",
+        r"\b(?:eso|esto|ello) no (?:lo|la) (?:haré|puedo hacer|voy a hacer|escribiré|responderé)\b",
+        r"^(?:lo siento|lamentablemente|desgraciadamente)\s*[,.:;–—-]*\s*(?:pero )?(?:no|es imposible|imposible)\s*[.!]*$",
     ],
 }
 _REFUSAL = {code: regex.compile("(?i)" + "|".join(f"(?:{x})" for x in patterns)) for code, patterns in REFUSALS.items()}
@@ -98,8 +106,6 @@ def is_empty(text: str | None) -> bool:
     bare = _TAGS.sub("", text)
     if not _CONTENT.search(bare):
         return True
-    if len(bare) > 80:
-        return False
     inner = _EDGES.sub("", bare).lower()
     return inner in PLACEHOLDERS or inner.replace("/", "") in PLACEHOLDERS
 
@@ -119,8 +125,12 @@ def is_refusal(text: str) -> bool:
     return any(declining) and rest <= 0.5 * sum(len(x.split()) for x in sentences)
 
 
+#: Some part of each way to decline; a text without any does not.
+_DECLINING = re.compile(r"n't|n’t|\b(?:can ?not|not|unable|declin|refus|refrain|pass\b|impossib|nothing|outside|beyond|against|contrary|conflict|violat|no\b|leave|lack|nicht|kein|ablehn|absehen|verzicht|unmöglich|möglich|gegen|widerspr|verstößt|außerhalb|übersteigt|geht über|jenseits|überschr|lehne|ausgeschl|pas\b|m'abst|contraire|dépasse|sort de|en dehors|hors de|au-delà|déclin|dois|préfère|vois|contraint|obligé|non\b|contrari|en contra|fuera|excede|más allá|supera|imposib|debo|tengo que|prefiero|he de|niego|abst)", re.I)
+
+
 def _declines(text: str) -> bool:
-    return any(p.search(text) for p in _REFUSAL.values())
+    return bool(_DECLINING.search(text)) and any(p.search(text) for p in _REFUSAL.values())
 
 
 _MARKS = regex.compile(r"[\s\p{P}\p{S}\p{Cf}]+")
@@ -149,17 +159,34 @@ def left_of_copy(prompt: str, answer: str) -> float:
     return max(0, size - 9) / len(data)
 
 
+#: Sentences that only hand a text over, by their beginnings.
+_FRAME = regex.compile(
+    r"(?i)^\W*(?:sure|certainly|of course|here (?:is|are|it|you)|you (?:wrote|asked|said|sent)|your (?:request|question|message|prompt|text)|the (?:request|question|prompt|text|message) (?:was|is|reads)|as (?:requested|you asked)|i (?:hope|have repeated|repeat|received)|let me (?:know|repeat)|thank you|thanks|please (?:let|tell)|is there anything|happy to|glad to|input|prompt|question|answer|response|output|original"
+    r"|gerne?|natürlich|selbstverständlich|hier (?:ist|sind|der|die|das)|(?:ihre|deine) (?:anfrage|frage|nachricht|eingabe)|sie (?:schrieben|fragten)|ich (?:hoffe|wiederhole)|vielen dank|danke|bitte (?:geben|sagen|lassen)|kann ich|eingabe|frage|antwort"
+    r"|bien sûr|volontiers|certainement|voici|voilà|votre (?:demande|question|message)|vous avez (?:écrit|demandé)|j'espère|merci|n'hésitez|dites-moi|demande|réponse"
+    r"|claro|por supuesto|con gusto|aquí (?:está|tiene|tienes|va)|su (?:solicitud|pregunta|mensaje)|tu (?:solicitud|pregunta|mensaje)|usted escribió|espero|gracias|no dude|pregunta|respuesta)\b"
+)
+_PIECES = regex.compile(r"(?<=[.!?。:])\s+|\n+")
+
+
 def is_copy(prompt: str, answer: str, most: float = 0.3) -> bool:
     """Gives the prompt back: nearly nothing of the answer is new, which its own repetitions don't explain, and it is
-    about as long as the prompt or its last turn."""
+    about as long as the prompt or its last turn; or it is longer, holds the prompt, and what it adds only hands it over."""
     turns = [t for t in _TURN.split(prompt) if t.strip()]
+    a = len(_folded(answer))
     for given in dict.fromkeys([prompt, turns[-1] if turns else prompt]):
-        a, b = len(_folded(answer)), len(_folded(given))
-        if not b or not 0.7 * b <= a <= 1.6 * b + 40:
+        b = len(_folded(given))
+        if not b or a < 0.7 * b:
             continue
-        left = left_of_copy(given, answer)
-        if left <= most * min(1.0, a / b) and left <= 0.5 * left_alone(answer):
-            return True
+        if a <= 1.6 * b + 40:
+            left = left_of_copy(given, answer)
+            if left <= most * min(1.0, a / b) and left <= 0.5 * left_alone(answer):
+                return True
+        if a > b and b >= 40 and left_of_copy(answer, given) <= 0.1:
+            whole = f" {_folded(given)} "
+            added = [x for x in _PIECES.split(answer) if (f := _folded(x)) and f" {f} " not in whole and left_of_copy(given, x) > 0.4]
+            if all(_FRAME.search(x) for x in added):
+                return True
     return False
 
 
@@ -199,20 +226,7 @@ def is_wrong_language(prompt: str, answer: str) -> bool:
     return words >= 4 and found.get(got, 9.0) > 1.5 * found.get(wanted, 0.0) + 0.5
 
 
-_PLACE = regex.compile(r"^[\s\p{P}]*(?:\d{4,5}\s+)?(?:(?:\p{Lu}|\d)[\p{L}\p{N}'’.-]*(?:[\s,]+|$)){0,4}[\s\p{P}]*$")
-
-
-def ends_in_detail(text: str, lexicon: tuple[frozenset, frozenset]) -> bool:
-    """Whether a text closes with a contact detail (a name, number or address), which needs no full stop."""
-    found = pii.find(text, *lexicon)
-    if not found:
-        return False
-    kind, _, end = found[-1]
-    rest = text[end:]
-    return bool(_PLACE.match(rest)) if kind == "address" else not regex.search(r"[\p{L}\p{N}]", rest)
-
-
-FACTS = "row_id long, side string, defect string, state string, marked boolean, before string, last string"
+FACTS = "row_id long, side string, defect string, state string, marked boolean, before string, last string, given string, family string"
 
 
 def judge(prompt: str | None, answer: str | None, tools: bool) -> tuple[str | None, tuple]:
@@ -228,8 +242,9 @@ def judge(prompt: str | None, answer: str | None, tools: bool) -> tuple[str | No
     return ("wrong_language" if wrong else None), truncation.ending(answer)
 
 
-def pair_facts(df: DataFrame, lexicon: tuple[frozenset, frozenset]) -> DataFrame:
-    """One row per answer of a row with status ok: its defect so far, and its ending."""
+def pair_facts(df: DataFrame) -> DataFrame:
+    """One row per answer of a row with status ok: its defect so far, and its ending; for an open ending that a name may close, its
+    given and family name."""
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,10 +252,11 @@ def pair_facts(df: DataFrame, lexicon: tuple[frozenset, frozenset]) -> DataFrame
             for i, prompt, base, base_tools, target, target_tools in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 for side, text, tools in (("baseline", base, base_tools), ("target", target, target_tools)):
                     defect, end = judge(prompt, text, bool(tools))
-                    if end[0] == "open" and ends_in_detail(text, lexicon):
+                    detail, *name = pii.last_detail(text) if end[0] == "open" else (False, "", "")
+                    if detail:
                         end = ("complete", False, "", "")
-                    rows.append((i, side, defect, *end))
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string())
+                    rows.append((i, side, defect, *end, *name))
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), *[pa.string()] * 4)
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [c.split()[0] for c in FACTS.split(", ")])
 
     ok = df.where("status = 'ok'")
@@ -249,6 +265,17 @@ def pair_facts(df: DataFrame, lexicon: tuple[frozenset, frozenset]) -> DataFrame
     return given.mapInArrow(per_task, FACTS)
 
 
+def closed_by_names(facts: DataFrame, learned: DataFrame) -> DataFrame:
+    """``facts`` without the open endings that a learned name closes: these need no full stop. Only endings that may be names are joined."""
+    named = F.coalesce((F.col("state") == "open") & (F.col("family") != ""), F.lit(False))
+    family = learned.where("role = 'f'").select(F.col("word").alias("f"), F.lit(True).alias("f_known"))
+    given = learned.where("role = 'g'").select(F.col("word").alias("g"), F.lit(True).alias("g_known"))
+    met = facts.where(named).join(family, F.col("family") == F.col("f"), "left").join(given, F.col("given") == F.col("g"), "left")
+    closed = F.col("f_known") & (F.col("g_known") | (F.length("given") == 1))
+    met = met.withColumn("state", F.when(closed, "complete").otherwise(F.col("state")))
+    return facts.where(~named).unionByName(met.drop("f", "f_known", "g", "g_known"))
+
+
 def defective_pairs(facts: DataFrame, contexts: DataFrame, least: float = 0.35) -> DataFrame:
     """``row_id, side, defect``."""
     judged = truncation.with_chance(facts.withColumn("at_limit", F.lit(False)), contexts)

@@ -16,11 +16,13 @@ first kind of ``KINDS``; repeated rows are reported each; long texts are read wh
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -57,7 +59,7 @@ _SEP = r"[ .\-/]?"
 _IDS = regex.compile(
     _NO + r"(?:"
     r"(?:passport|reisepass|passnummer|pass|pasaporte|passeport)\s*(?:no\.?|nr\.?|number|nummer|numéro|número|n[º°o]\.?|#|:|is|ist|est|es)?\s*:?\s*(?=[\p{L}\p{N}]*\d)[A-Z]{0,2}\d{6,9}[A-Z]?"
-    r"|(?:social security(?: number| no\.?)?|ssn|sozialversicherungsnummer|tax id(?:entification)?(?: number| no\.?)?|tin|itin|steuer-?id(?:entifikationsnummer)?|steuernummer|idnr\.?|steuerliche identifikationsnummer|national insurance(?: number| no\.?)?|nino|personalausweis(?:nummer)?|ausweisnummer|identity card(?: number| no\.?)?|id card(?: number| no\.?)?|numéro fiscal|numéro de sécurité sociale|sécurité sociale|número de la seguridad social|carte d'identité|documento nacional|dni|nif|nie|n\.?i\.?r\.?)\s*(?:no\.?|nr\.?|number|nummer|n[º°o]\.?|#|is|ist|est|es|lautet)?\s*:?\s*(?=[^\p{L}]*\d)[A-Z]{0,2}\s?\d(?:[ .\-/]?\d){5,14}(?:[ -]?[A-Z])?"
+    r"|(?:social security(?: number| no\.?)?|ssn|sozialversicherungsnummer|tax id(?:entification)?(?: number| no\.?)?|tin|itin|steuer-?id(?:entifikationsnummer)?|steuernummer|idnr\.?|steuerliche identifikationsnummer|national insurance(?: number| no\.?)?|nino|personalausweis(?:nummer)?|ausweisnummer|identity card(?: number| no\.?)?|id card(?: number| no\.?)?|numéro fiscal|numéro de sécurité sociale|sécurité sociale|número de la seguridad social|carte d'identité|documento nacional|dni|nif|nie|n\.?i\.?r\.?|national id(?:entity)?(?: number| no\.?)?|personal (?:identity |identification )?number|id number|identification number|identitätsnummer|numéro d'identité|número de identidad|pesel|bsn|cpf|codice fiscale)\s*(?:no\.?|nr\.?|number|nummer|n[º°o]\.?|#|is|ist|est|es|lautet)?\s*:?\s*(?=[^\p{L}]*\d)[A-Z]{0,2}\s?\d(?:[ .\-/]?\d){5,14}(?:[ -]?[A-Z])?"
     r"|\d{3}-\d{2}-\d{4}"
     r"|[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z]\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D]"
     r"|QQ\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D]"
@@ -78,47 +80,84 @@ _PHONE = regex.compile(
     r"|[2-9]\d{2}[ .\-]\d{3}[ .\-]\d{4}"
     r"|[2-9]\d{2}[2-9]\d{6}"
     r"|0\d{9,10}"
+    r"|[6-9]\d{2} \d{3} \d{3}"
+    r"|[89]\d \d{3} \d{2} \d{2}"
+    r"|[89]\d{2} \d{2} \d{2} \d{2}"
     r")(?![\p{L}\p{N}]|[.\-/:]\d)"
 )
 
+#: Words for a street that stand behind its name (English), end its name or stand behind it (German, Dutch),
+STREETS_AFTER = "street st road rd avenue ave lane ln boulevard blvd drive dr court ct place pl square sq way terrace ter close crescent cres gardens gdns row hill walk parkway pkwy highway hwy mews grove rise circle cir trail alley quay wharf green park".split()
+STREETS_JOINED = "straße strasse str. weg gasse allee platz kamp ring damm ufer steig stieg stiege pfad graben chaussee twiete anger winkel markt zeile wall hof berg brücke bruecke tor feld garten rain grund busch brink deich hang reihe promenade siedlung kai straat laan plein gracht kade dijk".split()
+#: those between a number and a name (French), those before a name and a number (Spanish, Italian, Polish, Portuguese), and
+#: prepositions that begin a German address before a postcode.
+STREETS_NUMBERED = "rue avenue av. boulevard bd bd. chemin allée allées place impasse quai route cours square passage sentier ruelle voie faubourg promenade esplanade villa cité montée venelle".split()
+STREETS_BEFORE = "calle c/ avda avda. avenida av. plaza pza pza. pl. paseo pº camino cno cno. ronda carrera travesía carretera ctra ctra. glorieta cuesta callejón rambla vía via viale piazza corso largo vicolo ulica ul. aleja al. plac rua travessa praça".split()
+STREETS_AT = "am an auf im in zum zur unter hinter vor".split()
 _CAP = r"\p{Lu}[\p{L}'’]*(?:-\p{Lu}[\p{L}'’]*)*"
-_EN_STREET = r"(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Boulevard|Blvd|Drive|Dr|Court|Ct|Place|Pl|Square|Sq|Way|Terrace|Ter|Close|Crescent|Cres|Gardens|Gdns|Row|Hill|Walk|Parkway|Pkwy|Highway|Hwy|Mews|Grove|Rise|Circle|Cir|Trail|Alley|Quay|Wharf|Green|Park)"
+_either = lambda words, title=False: "|".join(regex.escape(w.title() if title else w) for w in sorted(words, key=len, reverse=True))
+_EN_STREET = rf"(?:{_either(STREETS_AFTER, True)})"
 _ADDRESS = regex.compile(
     r"(?<![\p{L}\p{N}])(?:"
     rf"(?:(?:Flat|Apt\.?|Apartment|Unit|Suite|Room)\s*\d+\s?[A-Za-z]?,\s*)?\d{{1,5}}\s?[A-Za-z]?,?\s+(?:{_CAP}\s+){{1,3}}{_EN_STREET}\b\.?"
-    r"|(?:\p{Lu}\p{Ll}+\s+|Am\s+|An der\s+|An den\s+|Auf der\s+|Auf dem\s+|Im\s+|In der\s+|Zum\s+|Zur\s+|Unter den\s+|Hinter der\s+){0,2}\p{Lu}[\p{L}-]*(?:straße|strasse|str\.|weg|gasse|allee|platz|kamp|ring|damm|ufer|steig|stieg|stiege|pfad|graben|chaussee|twiete|anger|winkel|markt|zeile|wall|hof|berg|brücke|bruecke|tor|feld|garten|rain|grund|busch|brink|deich|hang|reihe|promenade|siedlung|kai)\s+\d{1,4}\s?[a-z]?\b(?!\s*(?:Stück|Prozent|Euro|Minuten|Sekunden|Stunden))"
+    rf"|(?:\p{{Lu}}\p{{Ll}}+\s+|Am\s+|An der\s+|An den\s+|Auf der\s+|Auf dem\s+|Im\s+|In der\s+|Zum\s+|Zur\s+|Unter den\s+|Hinter der\s+){{0,2}}\p{{Lu}}[\p{{L}}-]*(?:{_either(STREETS_JOINED)})\s+\d{{1,4}}\s?[a-z]?\b(?!\s*(?:Stück|Prozent|Euro|Minuten|Sekunden|Stunden))"
     r"|\p{Lu}[\p{L}-]+(?:er|e|es)?\s+(?:Straße|Strasse|Str\.|Weg|Gasse|Allee|Platz|Ring|Damm|Ufer|Steig|Stieg|Pfad|Graben|Chaussee|Markt|Wall|Hof|Berg|Kamp|Kai)\s+\d{1,4}\s?[a-z]?\b"
     r"|(?:Am|An der|An den|Auf der|Auf dem|Im|In der|In den|Zum|Zur|Unter den|Hinter der|Vor dem)\s+(?:\p{Lu}\p{Ll}+\s+)?\p{Lu}\p{Ll}{3,}\s+\d{1,3}\s?[a-z]?(?=\s*,\s*\d{5}\b)"
     r"|\d{1,4}\s*(?:bis|ter|quater|[A-D])?,?\s+(?i:rue|avenue|av\.|boulevard|bd\.?|chemin|allée|allées|place|impasse|quai|route|cours|square|passage|sentier|ruelle|voie|faubourg|promenade|esplanade|villa|cité|montée|venelle)\s+(?:(?:de|du|des|de\s+la|de\s+l['’]|d['’]|aux?|à\s+la|les?|la)\s*)*[\p{L}'’-]+(?:[\s-](?:de|du|des|la|le|les|d['’]|l['’]|\p{Lu})[\p{L}'’-]*)*"
     r"|(?i:calle|c/|avda\.?|avenida|av\.|plaza|pza\.?|pl\.|paseo|pº|camino|cno\.?|ronda|carrera|travesía|carretera|ctra\.?|glorieta|cuesta|callejón|rambla|vía)\s*(?:(?:de|del|los|las|la|el)\s+)*\p{Lu}[\p{L}'’-]*(?:\s+(?:de|del|los|las|la|el|y|\p{Lu}[\p{L}'’-]*))*,?\s+(?:n[º°o]\.?\s*)?\d{1,4}(?:\s*,?\s*\d{1,2}[º°ª]\s*[A-Z]?\b)?"
+    r"|(?:Via|Viale|Piazza|Corso|Largo|Vicolo|Ulica|[Uu]l\.|Aleja|[Aa]l\.|Plac|Rua|Travessa|Praça)\s+(?:(?:del|della|dei|delle|di|da|das|do|dos|de)\s+)?\p{Lu}[\p{L}'’-]*(?:\s+\p{Lu}[\p{L}'’-]*){0,3},?\s+\d{1,4}\s?[a-zA-Z]?\b"
     r")"
 )
-
-#: Words before a name that leave no doubt.
+_SIX_DIGITS = re.compile(r"[0-9](?:[\s.\-/]?[0-9]){5}")
+_NINE_DIGITS = re.compile(r"[0-9](?:[\s.\-/()]{0,3}[0-9]){8}")
+
+#: Words before a name that leave no doubt: labels (before a colon or equals sign), keys of JSON, phrases, titles,
+#: and phrases after a name.
+LABELS = "customer client cliente clienta kunde kundin contact kontakt contacto name nom nombre patient employee user owner sender recipient attn attention signed".split()
+KEYS = "full_name fullname name customer contact".split()
+PHRASES = (
+    "my name is|i am|i'm|this is|signed by|spoke with|spoke to|speak to|speak with|talked to|talked with|met with|ask for|on behalf of|written by|sent by|kind regards,|best regards,|regards,|sincerely,|yours,|best,|cheers,|thanks,|"
+    "mein name ist|ich bin|ich heiße|gesprochen mit|sprach mit|gezeichnet|unterschrieben von|mit freundlichen grüßen,|mit freundlichen grüßen|viele grüße,|viele grüße|beste grüße,|beste grüße|im auftrag von|"
+    "je m'appelle|je suis|mon nom est|signé|signé par|parlé avec|parlé à|cordialement,|cordialement|bien à vous,|bien à vous|salutations,|salutations|de la part de|"
+    "me llamo|soy|mi nombre es|firmado|firmado por|hablé con|saludos,|saludos|atentamente,|atentamente|un saludo,|un saludo|de parte de"
+).split("|")
+TITLES = "dr prof mr mrs ms mx herr herrn frau mme mlle monsieur madame sra sr señor señora don doña ing dipl".split()
+AFTER = "promised me|called me|wrote to me|was very helpful|war sehr hilfreich|a été très|fue muy|hat mir|m'a promis|me prometió|me llamó".split("|")
 _TITLE = r"(?:(?:Dr|Prof|Mr|Mrs|Ms|Mx|Herrn?|Frau|Mme|Mlle|Monsieur|Madame|Sra|Sr|Señora?|Don|Doña|Ing|Dipl)\b\.?\s+)"
-_INTRODUCTION = (
-    r"(?i:customer|client|cliente|clienta|kunde|kundin|contact|kontakt|contacto|name|nom|nombre|patient|employee|user|owner|sender|recipient|attn|attention|signed)\s*[:=]\s*[\"“]?\s*"
-    r"|(?i:\"(?:full_?name|name|customer|contact)\"\s*:\s*\")"
-    r"|(?i:my name is|i am|i'm|this is|signed by|spoke with|spoke to|speak to|speak with|talked to|talked with|met with|ask for|on behalf of|written by|sent by|kind regards,|best regards,|regards,|sincerely,|yours,|best,|cheers,|thanks,)\s+"
-    r"|(?i:mein name ist|ich bin|ich heiße|gesprochen mit|sprach mit|gezeichnet|unterschrieben von|mit freundlichen grüßen,?|viele grüße,?|beste grüße,?|im auftrag von)\s+"
-    r"|(?i:je m'appelle|je suis|mon nom est|signé|signé par|parlé avec|parlé à|cordialement,?|bien à vous,?|salutations,?|de la part de)\s+"
-    r"|(?i:me llamo|soy|mi nombre es|firmado|firmado por|hablé con|saludos,?|atentamente,?|un saludo,?|de parte de)\s+"
-)
-_AFTER_NAME = r"\s+(?i:promised me|called me|wrote to me|was very helpful|war sehr hilfreich|a été très|fue muy|hat mir|m'a promis|me prometió|me llamó)\b"
 _PART = r"\p{L}[\p{L}'’]+(?:-\p{L}[\p{L}'’]+)*"
 _PARTS = regex.compile(_PART)
 _NAME = rf"(?:{_PART},\s*(?:{_PART}|\p{{L}}\.)|(?:{_PART}|\p{{L}}\.)\s+(?:\p{{L}}\.\s*){{0,2}}{_PART}(?:\s+(?:de|del|von|van|der|y|la)\s+{_PART})?)"
-_INTRODUCED = regex.compile(rf"(?:{_INTRODUCTION})\s*{_TITLE}*(?P<n>{_NAME})|(?<![\p{{L}}]){_TITLE}+(?P<n>{_NAME})|(?<![\p{{L}}])(?P<n>{_NAME})(?={_AFTER_NAME})")
-#: Some part of every introduction: a text without any has no introduced name.
-_CUE = re.compile(
-    r"(?i)\b(?:customer|client|cliente|clienta|kunde|kundin|contact|kontakt|contacto|name|full_?name|nom|nombre|patient|employee|user|owner|sender|recipient|attn|attention|signed|i am|i'm|this is|spoke|speak|talked|met with|ask for|on behalf|written by|sent by"
-    r"|regards|sincerely|yours|best,|cheers,|thanks,|ich bin|ich heiße|gesprochen|sprach|gezeichnet|unterschrieben|grüßen?|auftrag|je m'appelle|je suis|signé|parlé|cordialement|bien à vous|salutations|de la part|me llamo|soy|firmado|hablé|saludos?|atentamente|de parte"
-    r"|dr|prof|mr|mrs|ms|mx|herrn?|frau|mme|mlle|monsieur|madame|sra?|señora?|don|doña|ing|dipl|promised me|called me|wrote to me|was very helpful|war sehr hilfreich|a été très|fue muy|hat mir|m'a promis|me prometió|me llamó)"
-)
+_AFTER_LABEL = regex.compile(rf"\s*[:=]\s*[\"“]?\s*{_TITLE}*(?P<n>{_NAME})")
+_AFTER_KEY = regex.compile(rf"\"\s*:\s*\"\s*{_TITLE}*(?P<n>{_NAME})")
+_AFTER_PHRASE = regex.compile(rf"\s+{_TITLE}*(?P<n>{_NAME})")
+_AFTER_TITLE = regex.compile(rf"{_TITLE}+(?P<n>{_NAME})")
+_BEFORE = regex.compile(rf"(?<![\p{{L}}])(?P<n>{_NAME})\s+$")
+_LABEL, _KEY, _PHRASE, _TITLES, _AFTER_NAME, _NUMBERED, _BEFORE_NUMBER, _AFTER_NUMBER, _JOINED, _PREPOSITION, _DIGIT_WORD, _AT_SIGN, _AT_WORDS, _DOT_WORDS = (1 << k for k in range(14))
+
+
+_STREETS = _NUMBERED | _BEFORE_NUMBER | _AFTER_NUMBER | _PREPOSITION
+_SOME_DIGIT = re.compile(r"[0-9]")
+_NUMBER_BEFORE = re.compile(r"[0-9]\s*(?:bis|ter|quater|[A-D])?,?\s+$")
+_POSTCODE = re.compile(r",\s*[0-9]{5}")
+
+
+@functools.cache
+def _triggers() -> ahocorasick.Automaton:
+    """Every literal that may begin a find, with what it may be and its length: a text is read once to know which patterns to try."""
+    kinds: dict[str, int] = {}
+    lists = ((_LABEL, LABELS), (_KEY, [f'"{k}' for k in KEYS]), (_PHRASE, PHRASES), (_TITLES, TITLES), (_AFTER_NAME, AFTER), (_NUMBERED, STREETS_NUMBERED), (_BEFORE_NUMBER, STREETS_BEFORE), (_AFTER_NUMBER, STREETS_AFTER), (_JOINED, STREETS_JOINED), (_PREPOSITION, STREETS_AT), (_DIGIT_WORD, _DIGITS), (_AT_SIGN, "@"), (_AT_WORDS, ("at", "arroba", "arobase", "ät")), (_DOT_WORDS, ("dot", "punkt", "punto", "point")))
+    for kind, words in lists:
+        for w in words:
+            kinds[w] = kinds.get(w, 0) | kind
+    found = ahocorasick.Automaton()
+    for w, kind in kinds.items():
+        found.add_word(w, (kind, len(w)))
+    found.make_automaton()
+    return found
+
+
 _ANY_NAME = regex.compile(rf"(?<![\p{{L}}@.'’-])(?P<n>{_NAME})(?![\p{{L}}@])")
 _SPLIT = regex.compile(r"[\s,]+")
-_AT_SIGN = regex.compile(r"(?i)@|\b(?:at|arroba|arobase|ät)\b")
-_DIGIT = regex.compile(r"[0-9]")
 _NAME_WORD = regex.compile(r"\p{L}+(?:['’-]\p{L}+)*")
 _NOT_ID = regex.compile(r"(?i)(?:order|serial|reference|tracking|build|version)\s*(?:no\.?|number|#|:)?\s*$")
 
@@ -134,48 +173,69 @@ _NO_NAME = frozenset(
 )
 
 
+@functools.cache
+def _plain(c: str) -> str:
+    """What a character becomes in the normal form; look-alikes, which depend on their word, come out as \x00."""
+    if c.isascii() or c in "ºª":
+        return c
+    if c in _HIDDEN:
+        return ""
+    if c in _LOOKALIKE:
+        return "\0"
+    if c.isspace():
+        return " "
+    plain = unicodedata.normalize("NFKC", c)
+    return "-" if plain in "‐‑‒–−" else plain
+
+
 class Normal:
     """The normal form of a text and, for every character of it, its span in the source."""
 
-    __slots__ = ("ends", "starts", "text")
+    __slots__ = ("ends", "hits", "starts", "text")
 
     def __init__(self, source: str):
-        if source.isascii():
-            self.text, self.starts, self.ends = source, None, None
-        else:
-            out: list[str] = []
-            starts: list[int] = []
-            ends: list[int] = []
-            for i, c in enumerate(source):
-                if c in _HIDDEN:
-                    if ends:
-                        ends[-1] = i + 1
-                    continue
-                plain = c if c.isascii() or c in "ºª" else " " if c.isspace() and c != "\n" else unicodedata.normalize("NFKC", c)
-                if plain in "‐‑‒–−" and plain:
-                    plain = "-"
-                for x in plain:
-                    out.append(x)
-                    starts.append(i)
-                    ends.append(i + 1)
+        self.text, self.starts, self.ends = source, None, None
+        if not source.isascii() and any(_plain(c) != c for c in set(source)):
+            self._fold(source)
+        self.hits = self._hits()
+        if sum(kind & _DIGIT_WORD != 0 for kind, _, _ in self.hits) >= 7 and self._spell():
+            self.hits = self._hits()
+
+    def _hits(self) -> list[tuple[int, int, int]]:
+        """(kinds, start, end) of every trigger in the text."""
+        low = self.text.lower()
+        if len(low) != len(self.text):
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in self.text)
+        return [(kind, end + 1 - size, end + 1) for end, (kind, size) in _triggers().iter(low)]
+
+    def _fold(self, source: str) -> None:
+        out: list[str] = []
+        starts: list[int] = []
+        ends: list[int] = []
+        for i, c in enumerate(source):
+            if c in _HIDDEN:
+                if ends:
+                    ends[-1] = i + 1
+                continue
+            for x in _plain(c) if c not in _LOOKALIKE else c:
+                out.append(x)
+                starts.append(i)
+                ends.append(i + 1)
+        text = "".join(out)
+        if any(x in _LOOKALIKE for x in set(text)):
+            for m in regex.finditer(r"[\p{L}\p{N}]+", text):
+                word = m.group()
+                if regex.search(r"[\p{Latin}0-9]", word) and all(x in _LOOKALIKE or not regex.match(r"[\p{Cyrillic}\p{Greek}]", x) for x in word):
+                    for k in range(m.start(), m.end()):
+                        out[k] = _LOOKALIKE.get(out[k], out[k])
             text = "".join(out)
-            if any(x in _LOOKALIKE for x in text):
-                for m in regex.finditer(r"[\p{L}\p{N}]+", text):
-                    word = m.group()
-                    if regex.search(r"[\p{Latin}0-9]", word) and all(x in _LOOKALIKE or not regex.match(r"[\p{Cyrillic}\p{Greek}]", x) for x in word):
-                        for k in range(m.start(), m.end()):
-                            out[k] = _LOOKALIKE.get(out[k], out[k])
-                text = "".join(out)
-            self.text, self.starts, self.ends = text, starts, ends
-        self._spell()
-
-    def _spell(self) -> None:
+        self.text, self.starts, self.ends = text, starts, ends
+
+    def _spell(self) -> bool:
         """Runs of seven or more spelled digits as digits."""
-        if sum(map(_DIGITS.__contains__, _LETTERS.findall(self.text.lower()))) < 7:
-            return
         found = list(_SPELLED.finditer(self.text))
         if not found:
-            return
+            return False
         n = len(self.text)
         starts = self.starts if self.starts is not None else list(range(n))
         ends = self.ends if self.ends is not None else list(range(1, n + 1))
@@ -196,6 +256,40 @@ class Normal:
                 s.append(starts[at - 1])
                 e.append(ends[at - 1])
         self.text, self.starts, self.ends = "".join(text) + self.text[at:], s + starts[at:], e + ends[at:]
+        return True
+
+    def has(self, kind: int) -> bool:
+        return any(k & kind for k, _, _ in self.hits)
+
+    def may_hold_email(self) -> bool:
+        """Whether there is an at sign, a bracketed word for it, or such a word and a word for the dot."""
+        text, at = self.text, False
+        for kind, start, end in self.hits:
+            if kind & _AT_SIGN:
+                return True
+            if kind & _AT_WORDS and start and not text[start - 1].isalnum() and not text[end : end + 1].isalnum():
+                if text[:start].rstrip()[-1:] in ("[", "(", "{", "<"):
+                    return True
+                at = True
+        return at and self.has(_DOT_WORDS)
+
+    def may_hold_address(self) -> bool:
+        """Whether some word for a street stands where an address has it, next to a number."""
+        text = self.text
+        for kind, start, end in self.hits:
+            if kind & _JOINED and text[end : end + 1].isspace() and text[end : end + 20].lstrip()[:1].isdigit():
+                return True
+            if not kind & _STREETS or (start and text[start - 1].isalnum()):
+                continue
+            if kind & _AFTER_NUMBER and text[start].isupper() and not text[end : end + 1].isalnum() and _SOME_DIGIT.search(text, max(0, start - 120), start):
+                return True
+            if kind & _NUMBERED and text[end : end + 1].isspace() and _NUMBER_BEFORE.search(text[max(0, start - 24) : start]):
+                return True
+            if kind & _BEFORE_NUMBER and _SOME_DIGIT.search(text, end, end + 120):
+                return True
+            if kind & _PREPOSITION and text[start].isupper() and text[end : end + 1].isspace() and _POSTCODE.search(text, end, end + 120):
+                return True
+        return False
 
     def source_span(self, start: int, end: int) -> tuple[int, int]:
         if self.starts is None:
@@ -223,18 +317,46 @@ def _proper(name: str) -> bool:
 
 
 def blank(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text, as long as it was, with nothing left at the spans."""
     for start, end in spans:
         text = text[:start] + "\0" * (end - start) + text[end:]
     return text
 
 
-def introduced(text: str) -> Iterator[tuple[str, str]]:
+def _introductions(normal: Normal, text: str) -> Iterator[tuple[int, int]]:
+    """Spans of what may be a name after (or before) an introduction; ``text`` is the normal text with finds blanked out."""
+    for kind, start, end in normal.hits:
+        m = None
+        if kind & _LABEL and (m := _AFTER_LABEL.match(text, end)):
+            yield m.span("n")
+        if kind & _KEY and (m := _AFTER_KEY.match(text, end)):
+            yield m.span("n")
+        if kind & _PHRASE and (m := _AFTER_PHRASE.match(text, end)):
+            yield m.span("n")
+        if kind & _TITLES and not (start and text[start - 1].isalpha()) and (m := _AFTER_TITLE.match(text, start)):
+            yield m.span("n")
+        if kind & _AFTER_NAME and not text[end : end + 1].isalnum():
+            low = max(0, start - 120)
+            for m in _BEFORE.finditer(text, low, start, overlapped=True):
+                if (low == 0 or m.start() > low) and _SPLIT.split(m.group("n"))[0].rstrip(".").lower() not in TITLES:
+                    yield m.span("n")
+
+
+_INTRODUCING = _LABEL | _KEY | _PHRASE | _TITLES | _AFTER_NAME
+
+
+def introduced(source: str) -> Iterator[tuple[str, str]]:
     """(given, family) of the properly written names that an introduction supports."""
-    if not _CUE.search(text):
+    normal = Normal(source)
+    if not normal.has(_INTRODUCING):
         return
-    for m in _INTRODUCED.finditer(text):
-        name = m.group("n")
-        if _proper(name) and (parts := _parts(name)):
+    text = normal.text
+    if normal.may_hold_email():
+        text = blank(text, [m.span() for m in _EMAIL.finditer(text)])
+    if normal.may_hold_address():
+        text = blank(text, [m.span() for m in _ADDRESS.finditer(text)])
+    for start, end in dict.fromkeys(_introductions(normal, text)):
+        if _proper(name := text[start:end]) and (parts := _parts(name)):
             yield parts
 
 
@@ -247,12 +369,7 @@ def learned_names(df: DataFrame, columns: list[str], least: int = 2) -> DataFram
             for column in batch.columns:
                 for t in column.to_pylist():
                     if t:
-                        plain = Normal(t).text
-                        if _AT_SIGN.search(plain):
-                            plain = _EMAIL.sub(" ; ", plain)
-                        if _DIGIT.search(plain):
-                            plain = _ADDRESS.sub(" ; ", plain)
-                        for given, family in introduced(plain):
+                        for given, family in introduced(t):
                             seen["g", given] += len(given) > 1
                             seen["f", family] += 1
         keys = [k for k, n in seen.items() if n]
@@ -262,49 +379,52 @@ def learned_names(df: DataFrame, columns: list[str], least: int = 2) -> DataFram
     return counts.where(F.col("n") >= least)
 
 
-def name_lexicon(df: DataFrame, columns: list[str], least: int = 2) -> tuple[frozenset, frozenset]:
-    """(given names, family names) of ``learned_names``, the ``LEXICON`` most frequent ones."""
-    return _by_role(learned_names(df, columns, least).orderBy(F.desc("n"), "word").limit(LEXICON).collect())
-
-
 def _by_role(found: list) -> tuple[frozenset, frozenset]:
     return frozenset(r.word for r in found if r.role == "g"), frozenset(r.word for r in found if r.role == "f")
 
 
+@functools.lru_cache(maxsize=4)
+def _automaton(words: frozenset[str]) -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    for w in words:
+        found.add_word(w, True)
+    found.make_automaton()
+    return found
+
+
 def find(source: str, given: frozenset = frozenset(), family: frozenset = frozenset()) -> list[tuple[str, int, int]]:
     """(kind, start, end) in the source, in order, not overlapping."""
     normal = Normal(source)
     text = normal.text
     found: list[tuple[str, int, int]] = []
-    has_digit = _DIGIT.search(text) is not None
 
     def take(kind: str, spans: list[tuple[int, int]]) -> None:
         nonlocal text
         found.extend((kind, *s) for s in spans)
         text = blank(text, spans)
 
-    if _AT_SIGN.search(text):
+    if normal.may_hold_email():
         take("email", [m.span() for m in _EMAIL.finditer(text)])
-    if has_digit:
+    if _SIX_DIGITS.search(text):
         take("id_number", [m.span() for m in _IDS.finditer(text) if not _NOT_ID.search(text[max(0, m.start() - 20) : m.start()])])
         phones = []
-        for m in _PHONE.finditer(text.replace("=", " ")):
+        for m in _PHONE.finditer(text.replace("=", " ")) if _NINE_DIGITS.search(text) else ():
             digits = sum(c.isdigit() for c in m.group())
             before = text[max(0, m.start() - 24) : m.start()]
             if 9 <= digits <= 15 and not _NOT_PHONE.search(before):
                 phones.append(m.span())
         take("phone", phones)
+    if normal.may_hold_address():
         take("address", [m.span() for m in _ADDRESS.finditer(text)])
     names: list[tuple[int, int]] = []
-    for m in _INTRODUCED.finditer(text, overlapped=True) if _CUE.search(text) else ():
-        start, end = m.span("n")
+    for start, end in sorted(set(_introductions(normal, text))) if normal.has(_INTRODUCING) else ():
         parts = _parts(text[start:end])
         if parts is None or any(s < end and start < e for s, e in names):
             continue
         known = parts[1] in family or parts[0] in given or (parts[1] in given and parts[0] in family)
         if _proper(text[start:end]) or (known and parts[1] in family and (parts[0] in given or len(parts[0]) == 1)):
             names.append((start, end))
-    if family and not family.isdisjoint(_NAME_WORD.findall(text.casefold())):
+    if family and next(_automaton(family).iter(text.casefold()), None):
         for m in _ANY_NAME.finditer(text, overlapped=True):
             start, end = m.span("n")
             parts = _parts(text[start:end])
@@ -316,6 +436,26 @@ def find(source: str, given: frozenset = frozenset(), family: frozenset = frozen
     return sorted(((k, *normal.source_span(s, e)) for k, s, e in found), key=lambda x: x[1])
 
 
+_NAME_END = regex.compile(rf"(?<![\p{{L}}@.'’-])(?P<n>{_NAME})[^\p{{L}}\p{{N}}]*$")
+_PLACE = regex.compile(r"^[\s\p{P}]*(?:\d{4,5}\s+)?(?:(?:\p{Lu}|\d)[\p{L}\p{N}'’.-]*(?:[\s,]+|$)){0,4}[\s\p{P}]*$")
+_CONTENT = regex.compile(r"[\p{L}\p{N}]")
+
+
+def last_detail(source: str) -> tuple[bool, str, str]:
+    """How a text ends: (whether with a contact detail, and else the given and family name it may end with, or '')."""
+    if found := find(source):
+        kind, _, end = found[-1]
+        rest = source[end:]
+        if _PLACE.match(rest) if kind == "address" else not _CONTENT.search(rest):
+            return True, "", ""
+    text = Normal(source[-200:]).text
+    for m in _NAME_END.finditer(text, overlapped=True):
+        if parts := _parts(m.group("n")):
+            if len(parts[0]) > 1 or m.group("n")[0].isupper():
+                return False, *parts
+    return False, "", ""
+
+
 def redact(source: str, found: list[tuple[str, int, int]]) -> str:
     """The source with each find replaced by its placeholder."""
     out, at = [], 0

@@ -15,10 +15,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def _judged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spread(read_table(spark, sf_dir, "row_results").select("row_id", "status", "prompt_text", "baseline_text", "target_text", "baseline_tool_calls", "target_tool_calls"))
-    lexicon = pii.name_lexicon(rows, ["prompt_text", "baseline_text", "target_text"])
-    facts = cut_lineage(broken_pairs.pair_facts(rows, lexicon))
+    facts = cut_lineage(broken_pairs.pair_facts(rows))
+    names = cut_lineage(pii.learned_names(rows, ["prompt_text", "baseline_text", "target_text"]))
+    facts = broken_pairs.closed_by_names(facts, names)
     answers = rows.where("status = 'ok'").select(F.explode(F.array("baseline_text", "target_text")).alias("text"))
-    return broken_pairs.defective_pairs(facts, truncation.ending_contexts(answers, "text"))
+    return broken_pairs.defective_pairs(facts, truncation.ending_contexts(answers, "text", facts))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +35,7 @@ def p1_defect_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _cut_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     responses = spread(read_table(spark, sf_dir, "decoded_responses").select("response_id", "source", "text"))
     facts = cut_lineage(truncation.endings(responses, "response_id", "source", "text"))
-    return truncation.cut_records(facts, truncation.ending_contexts(responses, "text"))
+    return truncation.cut_records(facts, truncation.ending_contexts(responses, "text", facts))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,9 +49,9 @@ def p4_source_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_length_hazards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lengths (characters) at which sources end texts more often than at the lengths around."""
+    """The lengths (in characters and in bytes) at which sources end texts more often than at the lengths around."""
     responses = spread(read_table(spark, sf_dir, "decoded_responses").select("response_id", "source", "text"))
-    return truncation.length_hazards(truncation.endings(responses, "response_id", "source", "text"), "chars").where("significant")
+    return truncation.length_hazards(truncation.endings(responses, "response_id", "source", "text")).where("significant")
 
 
 _PII_FIELDS = ["prompt_text", "baseline_text"]

@@ -102,9 +102,14 @@ def endings(df: DataFrame, row_id: str, source: str, text: str) -> DataFrame:
     return given.mapInArrow(per_task, FACTS)
 
 
-def ending_contexts(df: DataFrame, text: str) -> DataFrame:
-    """``before, last, ends, goes_on``: over all lines of all texts, how often the context ends a line and how often it goes
-    on, with another word or as a longer word. Copies of a text count once, as they tell nothing new, but for texts short enough to be labels."""
+def ending_contexts(df: DataFrame, text: str, facts: DataFrame) -> DataFrame:
+    """``before, last, ends, goes_on`` of the contexts of open endings: over all lines of all texts, how often the context ends a line and
+    how often it goes on, with another word or as a longer word. Copies of a text count once, as they tell nothing new, but for texts
+    short enough to be labels.
+
+    Words are counted by context before anything else, of those whose first word some open ending has; each counted word then stands
+    for itself and all its beginnings."""
+    wanted = facts.where("state = 'open'").select("before", "last").distinct()
     texts = df.select(F.col(text).alias("t")).where("t is not null").groupBy("t").agg(F.count(F.lit(1)).alias("copies"))
     texts = texts.withColumn("copies", F.when(F.length("t") <= 40, F.col("copies")).otherwise(1))
     texts = texts.withColumn("t", F.regexp_replace("t", r"(?i)\s*(?:…|\.\.\.+|[\[(<]\s*(?:\.\.\.|…|cut|cut off|more|truncated|continued|read more|snip)\s*[\])>])\s*$", ""))
@@ -115,10 +120,12 @@ def ending_contexts(df: DataFrame, text: str) -> DataFrame:
     words = F.filter(F.split(F.regexp_replace("line", mark, ""), r"(?U)\s+"), lambda w: w != "")
     spans = lines.select("copies", F.concat(F.array(start), words).alias("w")).where(F.size("w") > 1)
     pairs = spans.select("copies", F.posexplode(F.slice("w", 2, 1 << 30)).alias("k", "last"), "w").select("copies", F.element_at("w", F.col("k") + 1).alias("before"), "last", (F.col("k") + 2 == F.size("w")).alias("end"))
-    counted = pairs.where(F.length("last") <= WORD).groupBy("before", "last").agg(F.sum(F.when(F.col("end"), F.col("copies")).otherwise(0)).alias("ends"), F.sum(F.when(~F.col("end"), F.col("copies")).otherwise(0)).alias("goes_on"))
-    sizes = F.sequence(F.lit(1), F.length("last") - 1)
-    longer = counted.where(F.length("last") > 1).select("before", F.explode(F.transform(sizes, lambda k: F.substring(F.col("last"), F.lit(1), k))).alias("last"), F.lit(0).cast("long").alias("ends"), (F.col("ends") + F.col("goes_on")).alias("goes_on"))
-    return counted.unionByName(longer).groupBy("before", "last").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
+    pairs = pairs.where(F.length("last") <= WORD).join(wanted.select("before").distinct(), "before", "left_semi")
+    counted = pairs.groupBy("before", "last").agg(F.sum(F.when(F.col("end"), F.col("copies")).otherwise(0)).alias("e"), F.sum("copies").alias("all"))
+    sizes = F.sequence(F.lit(1), F.length("last"))
+    begun = counted.select("before", F.explode(F.transform(sizes, lambda k: F.struct(F.substring(F.col("last"), F.lit(1), k).alias("last"), (k == F.length("last")).alias("whole")))).alias("x"), "e", "all").select("before", "x.*", "e", "all")
+    ends = F.when(F.col("whole"), F.col("e")).otherwise(0)
+    return begun.join(wanted, ["before", "last"], "left_semi").groupBy("before", "last").agg(F.sum(ends).alias("ends"), F.sum(F.col("all") - ends).alias("goes_on"))
 
 
 def _poisson_tail(k: int, mean: float) -> float:
@@ -136,56 +143,61 @@ def _poisson_tail(k: int, mean: float) -> float:
     return 1.0
 
 
-def length_hazards(facts: DataFrame, unit: str, reach: int = 12, rate: float = 0.001) -> DataFrame:
-    """``source, length, ended, at_risk, hazard, usual, p_value, significant`` for lengths in ``unit`` (chars or bytes).
+def length_hazards(facts: DataFrame, reach: int = 12, rate: float = 0.001) -> DataFrame:
+    """``source, unit, length, ended, at_risk, hazard, usual, p_value, significant`` for lengths in both units (chars, bytes).
 
     ``usual`` is the hazard of the lengths up to ``reach`` before and after without the length itself and those next to it that
-    hold more than it expects; significance by Benjamini-Hochberg within each source at ``rate``."""
-    counts = facts.groupBy("source", F.col(unit).alias("length")).agg(F.count(F.lit(1)).alias("ended"))
-    down = Window.partitionBy("source").orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, 0)
+    hold more than it expects; significance by Benjamini-Hochberg within each source and unit at ``rate``."""
+    sizes = facts.select("source", F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes")])).alias("x")).select("source", "x.*")
+    counts = sizes.groupBy("source", "unit", "length").agg(F.count(F.lit(1)).alias("ended"))
+    within = Window.partitionBy("source", "unit")
+    down = within.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, 0)
     risk = counts.withColumn("at_risk", F.sum("ended").over(down)).withColumn("hazard", F.col("ended") / F.col("at_risk"))
-    near = Window.partitionBy("source").orderBy("length").rangeBetween(-reach, reach)
+    near = within.orderBy("length").rangeBetween(-reach, reach)
     sums = risk.withColumn("near_ended", F.sum("ended").over(near) - F.col("ended")).withColumn("near_most", F.max("ended").over(near)).withColumn("near_risk", F.sum("at_risk").over(near) - F.col("at_risk"))
     below = F.col("near_ended") - F.when(F.col("near_most") > F.col("ended"), F.col("near_most")).otherwise(0)
     usual = sums.withColumn("usual", (F.greatest(below, F.lit(0)) + 0.5) / (F.greatest(F.col("near_risk"), F.col("at_risk")) + 1.0))
-    columns = ["source", "length", "ended", "at_risk", "hazard", "usual"]
+    columns = ["source", "unit", "length", "ended", "at_risk", "hazard", "usual"]
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = [_poisson_tail(d, n * q) for d, n, q in zip(*[batch.column(i).to_pylist() for i in (2, 3, 5)], strict=True)]
+            p = [_poisson_tail(d, n * q) for d, n, q in zip(*[batch.column(i).to_pylist() for i in (3, 4, 6)], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], [*columns, "p_value"])
 
-    tested = usual.select(*columns).mapInArrow(per_task, "source string, length int, ended long, at_risk long, hazard double, usual double, p_value double")
-    by_p = Window.partitionBy("source").orderBy("p_value", "length")
-    ranked = tested.withColumn("rank", F.row_number().over(by_p)).withColumn("tests", F.count(F.lit(1)).over(Window.partitionBy("source")))
-    passing = ranked.withColumn("last_passing", F.max(F.when(F.col("p_value") <= F.col("rank") * rate / F.col("tests"), F.col("rank"))).over(Window.partitionBy("source")))
+    tested = usual.select(*columns).mapInArrow(per_task, "source string, unit string, length int, ended long, at_risk long, hazard double, usual double, p_value double")
+    ranked = tested.withColumn("rank", F.row_number().over(within.orderBy("p_value", "length"))).withColumn("tests", F.count(F.lit(1)).over(within))
+    passing = ranked.withColumn("last_passing", F.max(F.when(F.col("p_value") <= F.col("rank") * rate / F.col("tests"), F.col("rank"))).over(within))
     return passing.withColumn("significant", (F.col("rank") <= F.coalesce("last_passing", F.lit(0))) & (F.col("ended") >= 5)).drop("rank", "tests", "last_passing")
 
 
 def cut_records(facts: DataFrame, contexts: DataFrame, least: float = 0.35, least_at_limit: float = 0.7) -> DataFrame:
-    """``facts`` with ``at_limit``, ``chance`` (that an open ending is complete) and ``cut``."""
-    limits = [length_hazards(facts, unit).where("significant").select(F.col("source").alias(f"s_{unit}"), F.col("length").alias(f"l_{unit}")) for unit in ("chars", "bytes")]
-    out = facts
-    for unit, found in zip(("chars", "bytes"), limits, strict=True):
-        out = out.join(found, F.col("source").eqNullSafe(F.col(f"s_{unit}")) & (F.col(unit) == F.col(f"l_{unit}")), "left")
-    out = out.withColumn("at_limit", F.col("l_chars").isNotNull() | F.col("l_bytes").isNotNull()).drop("s_chars", "l_chars", "s_bytes", "l_bytes")
-    out = with_chance(out, contexts)
+    """``facts`` with ``at_limit``, ``chance`` (that an open ending is complete) and ``cut``.
+
+    All limits of a source are one row of at most some lengths, so that facts meet them in one join."""
+    found = length_hazards(facts).where("significant")
+    limits = found.groupBy(F.col("source").alias("s")).agg(*[F.collect_set(F.when(F.col("unit") == u, F.col("length"))).alias(f"l_{u}") for u in ("chars", "bytes")])
+    out = facts.join(limits, F.col("source").eqNullSafe(F.col("s")), "left")
+    at = F.array_contains("l_chars", F.col("chars")) | F.array_contains("l_bytes", F.col("bytes"))
+    out = with_chance(out.withColumn("at_limit", F.coalesce(at, F.lit(False))).drop("s", "l_chars", "l_bytes"), contexts)
     open_cut = (F.col("state") == "open") & (F.col("chance") < F.when(F.col("at_limit"), least_at_limit).otherwise(least))
     cut = (F.col("state") == "broken") | open_cut | (F.col("marked") & F.col("at_limit"))
     return out.withColumn("cut", F.coalesce(cut, F.lit(False)))
 
 
 def with_chance(facts: DataFrame, contexts: DataFrame) -> DataFrame:
-    """``facts`` (with state, marked, at_limit, before, last) and the ``chance`` that an open ending is complete."""
-    wanted = facts.where("state = 'open'").select("before", "last").distinct()
-    known = contexts.join(wanted, ["before", "last"], "left_semi")
-    out = facts.join(known, ["before", "last"], "left")
+    """``facts`` (with state, marked, at_limit, before, last) and the ``chance`` that an open ending is complete.
+
+    Only open endings are joined: the others, most of all, have no context."""
+    is_open = F.coalesce(F.col("state") == "open", F.lit(False))
+    known = contexts.select(F.col("before").alias("b"), F.col("last").alias("l"), "ends", "goes_on")
+    out = facts.where(is_open).join(known, (F.col("before") == F.col("b")) & (F.col("last") == F.col("l")), "left")
     ends, goes_on = F.coalesce("ends", F.lit(0)), F.coalesce("goes_on", F.lit(0))
     short = (F.col("before") == "<s>") & (F.col("last") != "")
     others = F.greatest(ends - 1, F.lit(0))
     unseen = F.when(short & ~F.col("marked") & ~F.col("at_limit"), 0.9).otherwise(0.1)
     chance = F.when(others + goes_on == 0, unseen).otherwise(others / (others + goes_on))
-    return out.withColumn("chance", F.when(F.col("state") == "open", F.when(F.col("last") == "", 0.0).otherwise(chance)))
+    judged = out.withColumn("chance", F.when(F.col("last") == "", 0.0).otherwise(chance)).drop("b", "l", "ends", "goes_on")
+    return judged.unionByName(facts.where(~is_open).withColumn("chance", F.lit(None).cast("double")))
 
 
 def source_report(df: DataFrame, source: str, cuts: DataFrame) -> DataFrame:

@@ -56,9 +56,9 @@ def test_table(spark):
     df = spark.createDataFrame(rows, f"row_id long, status string, prompt_text string, baseline_text string, target_text string, baseline_tool_calls {calls}, target_tool_calls {calls}").selectExpr("*", "'x' defect")
 
     def found(frame):
-        facts = broken_pairs.pair_facts(frame, pii.name_lexicon(frame, ["prompt_text"]))
+        facts = broken_pairs.closed_by_names(broken_pairs.pair_facts(frame), pii.learned_names(frame, ["prompt_text"]))
         answers = frame.where("status = 'ok'").selectExpr("explode(array(baseline_text, target_text)) text")
-        return sorted(tuple(r) for r in broken_pairs.defective_pairs(facts, truncation.ending_contexts(answers, "text")).collect())
+        return sorted(tuple(r) for r in broken_pairs.defective_pairs(facts, truncation.ending_contexts(answers, "text", facts)).collect())
 
     assert found(df) == [(1, "target", "truncated"), (5, "baseline", "truncated"), (5, "baseline", "truncated")]
     assert found(df.limit(0)) == []

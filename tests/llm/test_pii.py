@@ -47,11 +47,12 @@ def test_names_in_addresses_of_mail_do_not_count():
 def test_table(spark):
     rows = [(1, "customer: Hugo Stanvick", None, "x"), (2, "signed by Hugo Stanvick", "Hugo Stanvick", "x"), (2, "signed by Hugo Stanvick", "Hugo Stanvick", "x"), (3, None, "", "x")]
     df = spark.createDataFrame(rows, "row_id long, a string, b string, kinds string")
-    lexicon = pii.name_lexicon(df, ["a", "b"])
-    assert lexicon == (frozenset({"hugo"}), frozenset({"stanvick"}))
+    learned = {(r.role, r.word, r.n) for r in pii.learned_names(df, ["a", "b"]).collect()}
+    assert learned == {("g", "hugo", 3), ("f", "stanvick", 3)}
+    lexicon = (frozenset({"hugo"}), frozenset({"stanvick"}))
     got = sorted((r.row_id, r.field, tuple(r.kinds), r.redacted) for r in pii.scan(df, "row_id", ["a", "b"], lexicon).collect())
     assert got == [(1, "a", ("name",), "customer: [NAME]"), (2, "a", ("name",), "signed by [NAME]"), (2, "a", ("name",), "signed by [NAME]"), (2, "b", ("name",), "[NAME]"), (2, "b", ("name",), "[NAME]"), (3, "b", (), "")]
-    assert pii.scan(df.limit(0), "row_id", ["a", "b"], pii.name_lexicon(df.limit(0), ["a"])).count() == 0
+    assert pii.scan_learned(df.limit(0), "row_id", ["a", "b"]).count() == 0
 
 
 @pytest.mark.parametrize("text", ["My name is Orsolya Vetterlund and I wait.", "Customer: Orsolya Vetterlund", "signed by Orsolya Vetterlund"])

@@ -17,7 +17,7 @@ def test_endings(text, state):
 def cuts(spark, texts):
     df = spark.createDataFrame([(i, s, t, "clash") for i, (s, t) in enumerate(texts)], "response_id long, source string, text string, chance string")
     facts = truncation.endings(df, "response_id", "source", "text")
-    return {r.response_id: r for r in truncation.cut_records(facts, truncation.ending_contexts(df, "text")).collect()}, df
+    return {r.response_id: r for r in truncation.cut_records(facts, truncation.ending_contexts(df, "text", facts)).collect()}, df
 
 
 def test_limits_contexts_and_report(spark):
@@ -32,10 +32,10 @@ def test_limits_contexts_and_report(spark):
     got, df = cuts(spark, texts)
     assert sum(got[i].cut for i in range(0, 320, 2)) >= 155 and sum(got[i].cut for i in range(1, 320, 2)) == 0
     assert not any(got[i].cut for i in range(320, 325)) and 325 not in got and 326 not in got and not got[328].cut and not got[329].cut
-    hazards = truncation.length_hazards(truncation.endings(df, "response_id", "source", "text"), "chars").where("significant").collect()
-    assert ("a", 80) in {(h.source, h.length) for h in hazards}
+    hazards = truncation.length_hazards(truncation.endings(df, "response_id", "source", "text")).where("significant").collect()
+    assert {("a", "chars", 80), ("a", "bytes", 80)} <= {(h.source, h.unit, h.length) for h in hazards}
     facts = truncation.endings(df, "response_id", "source", "text")
-    report = {r.source: r for r in truncation.source_report(df, "source", truncation.cut_records(facts, truncation.ending_contexts(df, "text"))).collect()}
+    report = {r.source: r for r in truncation.source_report(df, "source", truncation.cut_records(facts, truncation.ending_contexts(df, "text", facts))).collect()}
     assert report["a"].records == 160 and report["a"].share > 0.95 and report["b"].cut == 0 and report[None].records == 1
 
 
