@@ -48,6 +48,7 @@ FUNCTION_WORDS = frozenset(
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+", re.I)
 _TITLED = re.compile(r"\[[^\]]*\]\((?:https?://|www\.)[^)]*\)|<a\s[^>]*href[^>]*>.*?</a>|^.{1,60}?\s[-–—:|]\s(?:https?://|www\.)\S+$", re.I)
 _WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*")
+_ASCII_WORD = re.compile(r"[a-z]+(?:'[a-z]+)*")
 _LATIN = regex.compile(r"\p{Latin}")
 _END = re.compile(r"[.!?。！？।؟…:]['\"”’»)\]*_`]*$")
 _SENTENCES = re.compile(r"(?<=[.!?।؟])['\"”’)]*\s+(?=\S)|(?<=[。！？])")
@@ -74,54 +75,84 @@ def units(text: str) -> Iterator[tuple[str, bool]]:
                 yield part.strip(), False
 
 
-def _page(text: str):
+_HAN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
+
+
+def _words(unit: str) -> list[str]:
+    """The words of a unit in lower case, without links; scripts without spaces give their characters."""
+    if "://" in unit or "www." in unit.lower():
+        unit = _URL.sub(" ", unit)
+    if unit.isascii():
+        return _ASCII_WORD.findall(unit.lower())
+    words = _WORD.findall(unit.replace("_", " ").lower())
+    if _NO_SPACE.search(unit):
+        words = [x for w in words for x in (w if _HAN.search(w) else (w,))]
+    return words
+
+
+def _page(text: str) -> tuple[list[tuple[str, bool]], list[list[str]], Counter, set]:
+    """The units of a page, their words, and its word pairs: with counts, and those that are there four times or more."""
     parts = list(units(text))
-    words = [[w.lower() for w in _WORD.findall(_URL.sub(" ", u).replace("_", " "))] for u, _ in parts]
+    words = [_words(u) for u, _ in parts]
     pairs: Counter = Counter()
     for w in words:
         pairs.update(zip(w, w[1:], strict=False))
-    return parts, words, pairs
+    return parts, words, pairs, {p for p, n in pairs.items() if n >= 4}
+
+
+_INDEX = {name: i for i, name in enumerate(SYMBOLS)}
+_TAG = re.compile(r"(?:^|\s)#[^\W_]\w*")
+_SETS = re.compile(r"\b\w+=\S")
+
+
+def _holds(unit: str, characters: str) -> int:
+    return sum(map(unit.count, characters))
 
 
-def symbol(unit: str, fenced: bool, words: list[str], pairs: Counter) -> int:
-    """What a unit is made of; ``pairs`` counts the word pairs of its page."""
-    name = SYMBOLS.index
+def symbol(unit: str, fenced: bool, words: list[str], pairs: Counter, often: set) -> int:
+    """What a unit is made of; ``pairs`` counts the word pairs of its page, ``often`` are the frequent ones."""
+    name = _INDEX.__getitem__
     if fenced:
         return name("code")
     if unit.startswith("#") and re.match(r"#{1,6}\s", unit):
         return name("heading")
-    links = _URL.findall(unit)
+    links = _URL.findall(unit) if "://" in unit or "www." in unit.lower() else ()
     if links:
         rest = len(words) - 3 * len(links)
         if _TITLED.search(unit) and rest <= 4:
             return name("titled_link")
         if sum(map(len, links)) >= 0.6 * len(unit) or rest <= 0:
             return name("bare_link")
-    dense = re.sub(r"\s", "", unit)
-    digits = sum(c.isdigit() for c in dense) / max(1, len(dense))
-    tags = len(re.findall(r"(?:^|\s)#[^\W_]\w*", unit))
+    plain = unit.isascii()
+    dense = "".join(unit.split())
+    digits = (_holds(dense, "0123456789") if plain else sum(map(str.isdigit, dense))) / max(1, len(dense))
+    tags = len(_TAG.findall(unit)) if "#" in unit else 0
     if tags >= 3 and tags * 4 >= len(words) / 2:
         return name("items_list")
-    if digits >= 0.22 or len(re.findall(r"\b\w+=\S", unit)) >= 2 or unit.startswith("|"):
+    if digits >= 0.22 or unit.startswith("|") or ("=" in unit and len(_SETS.findall(unit)) >= 2):
         return name("data")
-    if sum(c in "{}();=<>[]\\$" for c in unit) >= 0.08 * len(unit):
+    if _holds(unit, "{}();=<>[]\\$") >= 0.08 * len(unit):
         return name("code")
     n = len(words)
     own = list(zip(words, words[1:], strict=False))
-    again = sum(pairs[p] >= 4 for p in own) / max(1, len(own))
-    function = sum(w in FUNCTION_WORDS for w in words) / max(1, n)
+    again = sum(map(often.__contains__, own)) / max(1, len(own)) if often else 0.0
     stop = bool(_END.search(unit))
-    if stop and n >= 3 and 3 * len(_LATIN.findall(unit)) < 2 * sum(map(len, words)) or stop and _NO_SPACE.search(unit):
-        return name("sentence")  # function words and repetition are judged in Latin script only
-    bars = [x for x in _BARS.split(unit) if x.strip()]
-    items = [x for x in _LIST.split(unit) if x.strip()]
-    if len(bars) >= 4 and n / len(bars) <= 3.5:
+    joined = not plain and _NO_SPACE.search(unit) is not None
+    few = len(set(own)) < 0.5 * len(own)  # function words are judged in Latin script only
+    if stop and joined or stop and not plain and n >= 3 and 3 * len(_LATIN.findall(unit)) < 2 * sum(map(len, words)):
+        items = [x for x in _LIST.split(unit) if x.strip()] if joined else ()
+        return name("repeated") if n >= 8 and few else name("items_list") if len(items) >= 5 and n / len(items) <= 6 else name("sentence")
+    function = sum(map(FUNCTION_WORDS.__contains__, words)) / max(1, n)
+    bars = [x for x in _BARS.split(unit) if x.strip()] if "\t" in unit or any(c in unit for c in "|•·»›>/") else ()
+    items = [x for x in _LIST.split(unit) if x.strip()] if any(c in unit for c in ",;、،") else ()
+    size = n if not joined else n / 2
+    if len(bars) >= 4 and size / len(bars) <= 3.5:
         return name("items_bar")
-    if len(items) >= 3 and n / len(items) <= 4 and function < 0.12 and not (stop and n >= 8 and len(items) < 4):
+    if len(items) >= 3 and size / len(items) <= 4 and function < 0.12 and not (stop and n >= 8 and len(items) < 4):
         return name("repeated") if n >= 8 and again > 0.8 and len(set(words)) < 0.25 * n else name("items_list")
-    if n >= 8 and function < 0.15 and (len(set(words)) < 0.5 * n or again > 0.6):
+    if n >= 8 and function < 0.15 and (len(set(words)) < 0.5 * n and not joined or few and joined or again > 0.6):
         return name("repeated")
-    if n <= 7 and not stop and own and function < 0.3 and max(pairs[p] for p in own) >= 5:
+    if n <= 7 and not stop and own and function < 0.3 and max(map(pairs.__getitem__, own)) >= 5:
         return name("repeated_short")
     if n <= 3:
         return name("short_stop") if stop else name("short")
@@ -140,9 +171,9 @@ def page_units(df: DataFrame, doc_id: str, text: str) -> DataFrame:
         for batch in batches:
             marks, counts, sizes = [], [], []
             for t in batch.column(1).to_pylist():
-                parts, words, pairs = _page(t)
-                marks.append(bytes(symbol(u, f, w, pairs) for (u, f), w in zip(parts, words, strict=True)))
-                counts.append([max(1, len(u.split()), len(w) if not _NO_SPACE.search(u) else len(u) // 2) for (u, _), w in zip(parts, words, strict=True)])
+                parts, words, pairs, often = _page(t)
+                marks.append(bytes(symbol(u, f, w, pairs, often) for (u, f), w in zip(parts, words, strict=True)))
+                counts.append([max(1, len(u.split()), len(w) if u.isascii() or not _NO_SPACE.search(u) else len(u) // 2) for (u, _), w in zip(parts, words, strict=True)])
                 sizes.append([len(u) for u, _ in parts])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary()), pa.array(counts, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32()))], ["doc_id", "symbols", "words", "chars"])
 
@@ -175,8 +206,9 @@ def viterbi(symbols: bytes, emit: np.ndarray, move: np.ndarray) -> np.ndarray:
 
 
 def train(pages: DataFrame, rounds: int = 1, weight: float = 1000.0) -> tuple[np.ndarray, np.ndarray]:
-    """Viterbi training over all pages. The starting tables count as ``weight`` units a label, so that a corpus
-    refines the model and a small one leaves it as it is."""
+    """Viterbi training over all pages. The starting tables count as ``weight`` units a label and the corpus as at most four times
+    as many, however large: each row of the model is a mixture with at most 0.8 of the corpus, so that a corpus refines the model,
+    a small one leaves it as it is, and the most frequent label does not drown what the tables say of rare symbols."""
     emit, move = start_model()
     n, m = len(STATES), len(SYMBOLS)
     for _ in range(rounds):

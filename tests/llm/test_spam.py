@@ -10,6 +10,7 @@ SPAM = {
     "tags": "\n".join(f"Item {k} | best llm, cheap tokens, prompt cache" for k in range(15)),
     "hashtags": "#cheap_tokens #bestllm #promptcache " * 20,
     "stuffed": "buy replay tool here compare replay tool now best replay tool fast " * 12,
+    "chinese": "\n".join("便宜模型 便宜模型 便宜模型 最佳模型 便宜模型 便宜模型。" for _ in range(12)),
     "places": "\n".join(f"llm api near Town{k % 7}" for k in range(30)),
 }
 FINE = {
