@@ -75,3 +75,18 @@ def test_refusals_that_decline_late_or_at_length(text):
 def test_an_answer_that_also_declines_something_is_no_refusal():
     text = "The report lists twenty rows and groups them by category. Nobody noticed the longer preamble until Monday. The rows of the second group hold the late parcels, the third one the returns. I can't say which category is the largest."
     assert not broken_pairs.is_refusal(text) and not broken_pairs.is_refusal(text + " " + text)
+
+
+@pytest.mark.parametrize("text", ["Sorry, no.", "I'm afraid I cannot.", "That request is one I choose not to answer.", "As an AI language model, I do not have the capability.", "Lo siento, pero eso no lo haré.", "Leider ausgeschlossen.", "Désolé, mais non."])
+def test_short_refusals(text):
+    assert broken_pairs.judge(PROMPT, text, False)[0] == "refusal"
+
+
+def test_a_copy_between_polite_sentences():
+    assert broken_pairs.judge(PROMPT, f"Sure, here is your text. {PROMPT} I hope this is what you wanted. Please let me know if you need more.", False)[0] == "copy"
+    assert broken_pairs.judge(PROMPT, f"{PROMPT}\n\nIn short, the labels grew by a third and the rows of the second group were late, which nobody had seen.", False)[0] is None
+
+
+@pytest.mark.parametrize("text", ["Het rapport somt twintig rijen op en groepeert ze per categorie. Niemand merkte de langere inleiding op.", "Raport wymienia dwadzieścia wierszy i grupuje je według kategorii, ale nikt nie zauważył, że wstęp jest dłuższy.", "Il rapporto elenca venti righe e le raggruppa per categoria, ma nessuno ha notato che il preambolo è più lungo."])
+def test_further_languages(text):
+    assert broken_pairs.judge(PROMPT, text, False)[0] == "wrong_language"

@@ -46,6 +46,35 @@ def test_large_sketches_hold_their_bounds(make):
         assert max(first - target, target - last, 0) <= 0.02 * (len(values) - target + 1) + 1  # relative to the top
 
 
+@pytest.mark.parametrize("make", [lambda r, n: r.lognormal(size=n), lambda r, n: np.arange(float(n)), lambda r, n: np.arange(float(n))[::-1]])
+@pytest.mark.parametrize(("n", "parts"), [(400_000, 40), (2_000_000, 40)])
+def test_the_bound_is_a_fixed_share_of_the_values_above(make, n, parts):
+    """At ``ERROR``, however many values and parts, and in any order."""
+    values = make(np.random.default_rng(9), n)
+    whole = RankSketch()
+    for part in np.array_split(values, parts):
+        s = RankSketch()
+        s.update(part)
+        whole.merge(s)
+    ordered = np.sort(values)
+    for p, (x, low, high, error) in zip((50, 90, 95, 99), whole.summary((50, 90, 95, 99)), strict=True):
+        target = -(-p * n // 100)
+        assert low <= ordered[target - 1] <= high
+        assert abs(int(np.searchsorted(ordered, x, "right")) - target) <= error <= percentiles.ERROR * (n - target)
+
+
+def test_an_error_sets_the_size():
+    values = np.random.default_rng(1).lognormal(size=300_000)
+    bounds = []
+    for error in (0.2, 0.05, 0.02):
+        s = RankSketch(percentiles.size_for(error))
+        for part in np.array_split(values, 30):
+            s.update(part)
+        bounds.append(s.summary((90,))[0][3] / 30_000)
+        assert bounds[-1] <= error
+    assert bounds == sorted(bounds, reverse=True)
+
+
 def test_nulls_nan_zero_ties_and_groups(spark):
     nan = float("nan")
     rows = [(None, "t", date(2025, 1, 1), x, "clash") for x in (None, nan, 0.0, 0.0, -0.0, 5.0)] + [("b", "t", date(2025, 1, 2), nan, "c"), ("b", "t", date(2025, 1, 2), None, "c")] + [("", None, None, float("inf"), "c")]

@@ -76,3 +76,13 @@ def test_spelled_digits_without_zero_three_or_five(kind, part):
     text = f"Please note: {part}, thank you."
     assert [k for k, *_ in pii.find(text, *LEXICON)] == [kind]
     assert pii.redact(text, pii.find(text, *LEXICON)).startswith(f"Please note: [{kind.upper()}]")
+
+
+@pytest.mark.parametrize(("text", "kind", "part"), [("call 612 345 678 now", "phone", "612 345 678"), ("tel 91 234 56 78", "phone", "91 234 56 78"), ("lives at Via Roma 12, Milano", "address", "Via Roma 12"), ("Ulica Długa 5", "address", "Ulica Długa 5"), ("ID number 12-3456-789", "id_number", "ID number 12-3456-789")])
+def test_national_forms(text, kind, part):
+    assert [(k, text[s:e]) for k, s, e in pii.find(text, *LEXICON)] == [(kind, part)]
+
+
+@pytest.mark.parametrize(("text", "want"), [("Please call back. Regards, Orsolya Vetterlund", (True, "", "")), ("We met Hugo Stanvick", (False, "hugo", "stanvick")), ("write to a@b.example", (True, "", "")), ("the report lists rows of the", (False, "", "")), ("It is at 41 Old Brewer Lane, Mills", (True, "", ""))])
+def test_last_detail(text, want):
+    assert pii.last_detail(text) == want
