@@ -3,10 +3,12 @@
 1. ``field_profiles`` reads every JSON document once and keeps, per writer, file and field (the dotted path
    to a value that is no object), its types and a bounded signature of its content: how often it is
    there, character shapes, the smallest hashes of its values, and the range of its numbers.
-2. ``edit_script`` aligns the field trees of two consecutive files at minimum cost: deleting or adding a leaf
-   costs 1 each; carrying a leaf over to another name or place (rename, move) costs by how far content, name
-   and place differ, and is possible only below 2. The cheapest assignment is the script.
-3. ``drift_report`` runs it for each pair of neighbouring files; ``consistent_projection`` compiles the
+2. ``edit_script`` is a tree edit distance between the field trees of two consecutive files. ``node_mapping`` maps inner nodes
+   by the constrained distance of unordered trees (children of mapped nodes are matched at minimum cost, recursively), so that an
+   object is renamed or moved as a whole; then leaves are carried over at minimum cost, anywhere in the tree (a move). Deleting
+   or adding a leaf costs 1; carrying one over costs by how far content, name and place differ, the name below its own object
+   if that is mapped, and is possible only below 2. The cheapest script counts.
+3. ``drift_report`` runs it for each pair of neighbouring files; ``canonical_names`` compiles the
    scripts into one canonical name per field, and ``consistent_table`` applies it to every record.
 
 A profile's size is bounded by the schema, so a group (a file, or a writer's pair of files) is small however
@@ -19,6 +21,7 @@ frequent counts (ties: the first by name); repeated rows change nothing but coun
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import math
@@ -27,6 +30,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -35,8 +39,8 @@ from pyspark.sql import functions as F
 from swaplens.functions.json_text import MISSING, allow_deep_nesting, parse, unwrap
 
 GRAPH_LIMIT = 50_000
-SKETCH = 24
-SHAPES = 6
+SKETCH = 32
+BUCKETS = 64
 PROFILE = "record string, writer string, file_no int, field string, rows long, docs long, types map<string,long>, shapes map<string,long>, hashes array<long>, low double, high double, total double, numbers long"
 _RUNS = [(re.compile(r"[0-9]+"), "9"), (re.compile(r"[a-z]+"), "a"), (re.compile(r"[A-Z]+"), "A")]
 
@@ -60,13 +64,14 @@ def kind_of(value) -> str | None:
     return "array" if isinstance(value, list) else "string"
 
 
+@functools.lru_cache(maxsize=1 << 14)
 def shape_of(text: str) -> str:
-    """The kind of characters of a value: ``h32`` for 32 hex digits, else runs of digits and letters."""
+    """The kind of characters of a value: ``h32`` for 32 hex digits, else one of some buckets for its runs of digits and letters."""
     if len(text) >= 8 and re.fullmatch(r"[0-9a-f]+", text) and re.search(r"[0-9]", text):
-        return f"h{len(text)}"
+        return f"h{min(len(text), 256)}"
     for pattern, mark in _RUNS:
         text = pattern.sub(mark, text)
-    return text[:24]
+    return f"s{zlib.crc32(text.encode('utf-8', 'surrogatepass')) % BUCKETS}"
 
 
 class Profile:
@@ -95,16 +100,16 @@ class Profile:
             text = repr(float(number))
         shape = "n" if number is not None else "b" if kind_of(single) == "boolean" else "[]" if isinstance(single, list) else shape_of(text)
         self.shapes[shape] += 1
-        if len(self.shapes) > 4 * SHAPES:
-            self.shapes = Counter(dict(self.shapes.most_common(SHAPES)))
         self.hashes.add(zlib.crc32(text.encode("utf-8", "surrogatepass")))
         if len(self.hashes) > 4 * SKETCH:
             self.hashes = set(heapq.nsmallest(SKETCH, self.hashes))
 
     def merge(self, rows, types, shapes, hashes, low, high, total, numbers) -> None:
         self.rows += int(rows)
-        self.types.update({k: int(v) for k, v in types})
-        self.shapes.update({k: int(v) for k, v in shapes})
+        for k, v in types:
+            self.types[k] += int(v)
+        for k, v in shapes:
+            self.shapes[k] += int(v)
         self.hashes = set(heapq.nsmallest(SKETCH, self.hashes | {int(h) for h in hashes}))
         if numbers:
             self.low, self.high = min(self.low, low), max(self.high, high)
@@ -112,7 +117,11 @@ class Profile:
 
     def row(self) -> tuple:
         n = self.numbers
-        return (self.rows, sorted(self.types.items()), sorted(self.shapes.most_common(SHAPES)), sorted(heapq.nsmallest(SKETCH, self.hashes)), self.low if n else None, self.high if n else None, self.total, n)
+        return (self.rows, sorted(self.types.items()), sorted(self.shapes.items()), sorted(heapq.nsmallest(SKETCH, self.hashes)), self.low if n else None, self.high if n else None, self.total, n)
+
+    def distinct(self) -> float:
+        """How many values there are, about: counted while they are few, else by how near the smallest hashes lie."""
+        return len(self.hashes) if len(self.hashes) < SKETCH else (SKETCH - 1) * 2.0**32 / max(1, max(self.hashes))
 
     def type(self) -> str | None:
         return min(self.types, key=lambda k: (-self.types[k], k)) if self.types else None
@@ -199,9 +208,8 @@ def content_likeness(a: Profile, b: Profile) -> tuple[float, float]:
     if both_numbers != (a.numbers + b.numbers > 0) and (a.numbers >= 0.8 * na) != (b.numbers >= 0.8 * nb):
         ends = max(a.high, b.high)
         return (0.6, 0.2) if ends > 1e9 else (0.0, 1.0)
-    small = min(len(a.hashes), len(b.hashes))
-    values = len(a.hashes & b.hashes) / max(1, small)
-    repeats = max(na / max(1, len(a.hashes)), nb / max(1, len(b.hashes)))
+    values = shared_values(a, b)
+    repeats = max(na / max(1, a.distinct()), nb / max(1, b.distinct()))
     if values > 0:
         return max(values, 0.5 * (values + shape)), min(0.9, 0.5 + 0.1 * repeats)
     if repeats < 1.5 and any(len(s) >= 3 and s[0] == "h" for s in a.shapes):
@@ -209,6 +217,14 @@ def content_likeness(a: Profile, b: Profile) -> tuple[float, float]:
     return 0.6 * shape, 0.6
 
 
+def shared_values(a: Profile, b: Profile) -> float:
+    """The share of the values of the field with fewer that the other has too. Of many values each profile has the smallest hashes
+    only, so both are compared up to where both are complete."""
+    known = min(max(p.hashes) if len(p.hashes) >= SKETCH else 1 << 32 for p in (a, b))
+    ours, theirs = {h for h in a.hashes if h <= known}, {h for h in b.hashes if h <= known}
+    return len(ours & theirs) / max(1, min(len(ours), len(theirs)))
+
+
 def carry_cost(old: str, new: str, a: Profile, b: Profile, docs_a: int, docs_b: int) -> float:
     """Cost of carrying leaf ``old`` over to ``new``; from 2 on, deleting and adding is as cheap."""
     like, tells = content_likeness(a, b)
@@ -220,44 +236,133 @@ def carry_cost(old: str, new: str, a: Profile, b: Profile, docs_a: int, docs_b:
     return cost + (0.0 if a.type() == b.type() or not a.types or not b.types else 0.15)
 
 
-def _assign(costs: dict[tuple[int, int], float], n: int, m: int) -> list[tuple[int, int]]:
-    """Minimum-cost partial matching over the given pairs, whose cost is below 2 (Hungarian method)."""
+def _assign(costs: dict[tuple[int, int], float], n: int, m: int, out: float = 1.0) -> list[tuple[int, int]]:
+    """Minimum-cost partial matching over the given pairs, where leaving one out costs ``out`` (Hungarian method)."""
+    if not costs:
+        return []
     size = n + m
-    matrix = [[costs.get((i, j), 2.0) if i < n and j < m else (0.0 if i >= n and j >= m else 1.0) for j in range(size)] for i in range(size)]
-    u, v, match, way = [0.0] * (size + 1), [0.0] * (size + 1), [0] * (size + 1), [0] * (size + 1)
+    matrix = np.full((size, size), out)
+    matrix[n:, m:] = 0.0
+    matrix[:n, :m] = 2 * out + 1.0
+    for (i, j), c in costs.items():
+        matrix[i, j] = c
+    u, v = np.zeros(size + 1), np.zeros(size + 1)
+    match, way = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
     for i in range(1, size + 1):
         match[0], j0 = i, 0
-        least, used = [math.inf] * (size + 1), [False] * (size + 1)
+        least, used = np.full(size + 1, np.inf), np.zeros(size + 1, bool)
         while True:
             used[j0] = True
-            i0, delta, j1 = match[j0], math.inf, 0
-            for j in range(1, size + 1):
-                if not used[j]:
-                    now = matrix[i0 - 1][j - 1] - u[i0] - v[j]
-                    if now < least[j]:
-                        least[j], way[j] = now, j0
-                    if least[j] < delta:
-                        delta, j1 = least[j], j
-            for j in range(size + 1):
-                if used[j]:
-                    u[match[j]] += delta
-                    v[j] -= delta
-                else:
-                    least[j] -= delta
-            j0 = j1
+            free = np.flatnonzero(~used[1:]) + 1
+            now = matrix[match[j0] - 1, free - 1] - u[match[j0]] - v[free]
+            closer = now < least[free]
+            least[free[closer]], way[free[closer]] = now[closer], j0
+            j1 = free[least[free].argmin()]
+            delta = least[j1]
+            u[match[used]] += delta
+            v[used] -= delta
+            least[free] -= delta
+            j0 = int(j1)
             if match[j0] == 0:
                 break
         while j0:
-            match[j0], j0 = match[way[j0]], way[j0]
-    pairs = [(match[j] - 1, j - 1) for j in range(1, m + 1) if match[j]]
-    return sorted((i, j) for i, j in pairs if i < n and (i, j) in costs)
+            match[j0], j0 = match[way[j0]], int(way[j0])
+    pairs = [(int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j]]
+    return sorted((i, j) for i, j in pairs if i < n and costs.get((i, j), 2 * out + 1.0) < 2 * out)
+
+
+#: Cost of deleting or adding an inner node; relabelling or moving one costs less than both together.
+NODE = 0.3
+
+
+class _Node:
+    """An inner node of a field tree (restricted to some leaves): its path, children, and the leaves right below it."""
+
+    __slots__ = ("children", "leaves", "path")
+
+    def __init__(self, path: str):
+        self.path, self.children, self.leaves = path, {}, []
+
+    @property
+    def below(self) -> float:
+        """What it costs to delete or add all that is below."""
+        return len(self.leaves) + sum(c.below + NODE for c in self.children.values())
+
+
+def field_tree(fields: list[str]) -> _Node:
+    root = _Node("")
+    for field in fields:
+        node, steps = root, field.split(".")
+        for k, step in enumerate(steps[:-1]):
+            node = node.children.setdefault(step, _Node(".".join(steps[: k + 1])))
+        node.leaves.append(field)
+    return root
+
+
+def _below(field: str, path: str) -> str:
+    return field[len(path) + 1 :] if path else field
+
+
+def node_mapping(gone: list[str], come: list[str], carry) -> dict[str, str]:
+    """The inner nodes of the tree of ``gone`` that the cheapest constrained edit script maps to nodes of the tree of ``come`` with
+    another path. ``carry(old, new, old name, new name)`` is the cost of carrying a leaf over, 2 or more if it cannot be."""
+    old, new = field_tree(gone), field_tree(come)
+    relabel = lambda a, b: 0.0 if a.path == b.path else 0.5 * (1 - name_likeness(a.path, b.path))
+    cheaper = lambda x: (round(x[0], 9), -sum(b.count(".") for _, b in x[1]))  # noqa: E731 (of equals, with the objects nearest the leaves)
+    memo: dict[tuple[str, str], tuple[float, list]] = {}
+
+    def forest(a: _Node, b: _Node) -> tuple[float, list]:
+        """Cheapest script from what is below ``a`` to what is below ``b``, and the nodes that it maps."""
+        if (got := memo.get((a.path, b.path))) is not None:
+            return got
+        leaves = {(i, j): c for i, f in enumerate(a.leaves) for j, g in enumerate(b.leaves) if (c := carry(f, g, _below(f, a.path), _below(g, b.path))) < 2}
+        matched = _assign(leaves, len(a.leaves), len(b.leaves))
+        cost = sum(leaves[p] for p in matched) + len(a.leaves) + len(b.leaves) - 2 * len(matched)
+        ours, theirs = list(a.children.values()), list(b.children.values())
+        trees = {(i, j): tree(x, y) for i, x in enumerate(ours) for j, y in enumerate(theirs)}
+        whole = {(i, j): ours[i].below + theirs[j].below + 2 * NODE for i, j in trees}
+        gains = {p: 2.0 - (whole[p] - t[0]) / (a.below + b.below) for p, t in trees.items() if t[0] < whole[p]}
+        mapped: list = []
+        cost += sum(x.below + NODE for x in (*ours, *theirs))
+        for p in _assign(gains, len(ours), len(theirs)):
+            cost -= whole[p] - trees[p][0]
+            mapped += trees[p][1]
+        best = (cost, mapped)
+        for child in theirs:  # a new object around what there was
+            c, m = forest(a, child)
+            best = min(best, (c + b.below - child.below, m), key=cheaper)
+        for child in ours:  # an object that goes, and what it held stays
+            c, m = forest(child, b)
+            best = min(best, (c + a.below - child.below, m), key=cheaper)
+        memo[a.path, b.path] = best
+        return best
+
+    def tree(a: _Node, b: _Node) -> tuple[float, list]:
+        cost, mapped = forest(a, b)
+        return cost + relabel(a, b), [(a.path, b.path), *mapped]
+
+    return {a: b for a, b in forest(old, new)[1] if a != b} if old.children and new.children else {}
 
 
 def edit_script(old: dict[str, Profile], new: dict[str, Profile], docs_old: int, docs_new: int) -> list[tuple[str, str, str]]:
     """The cheapest script from the field tree ``old`` to ``new``: (change, field, new_field), sorted."""
     gone, come = sorted(old.keys() - new.keys()), sorted(new.keys() - old.keys())
-    costs = {(i, j): c for i, f in enumerate(gone) for j, g in enumerate(come) if (c := carry_cost(f, g, old[f], new[g], docs_old, docs_new)) < 2}
-    pairs = _assign(costs, len(gone), len(come)) if costs else []
+
+    @functools.cache
+    def carry(f: str, g: str, name: str, new_name: str) -> float:
+        return carry_cost(name, new_name, old[f], new[g], docs_old, docs_new)
+
+    nodes = node_mapping(gone, come, carry)
+    costs = {}
+    for i, f in enumerate(gone):
+        for j, g in enumerate(come):
+            c = carry(f, g, f, g)
+            for a, b in nodes.items():
+                if f.startswith(a + ".") and g.startswith(b + "."):
+                    c = min(c, carry(f, g, _below(f, a), _below(g, b)))
+            if c < 2:
+                costs[i, j] = c
+    pairs = _assign(costs, len(gone), len(come))
     out = [("renamed", gone[i], come[j]) for i, j in pairs]
     out += [("removed", f, "") for i, f in enumerate(gone) if i not in {p[0] for p in pairs}]
     out += [("added", g, "") for j, g in enumerate(come) if j not in {p[1] for p in pairs}]
@@ -302,7 +407,13 @@ CHANGES = "record string, writer string, file_no int, change string, field strin
 def drift_report(profiles: DataFrame) -> DataFrame:
     """``record, writer, file_no, change, field, new_field``: each file against the writer's file before it."""
     order = Window.partitionBy("record", "writer").orderBy("file_no")
-    pairs = file_schemas(profiles).withColumn("before", F.lag("fields").over(order)).where("before is not null")
+    schemas = file_schemas(profiles)
+    files = profiles.select("record", "writer", "file_no").distinct().withColumn("last", F.lag("file_no").over(order)).where("last is not null")
+    keys = lambda f, n: F.struct(f.record, F.coalesce(f.writer.isNull(), F.lit(False)), F.coalesce(f.writer, F.lit("")), n)
+    now = schemas.select(keys(schemas, schemas.file_no).alias("k"), "fields")
+    then = schemas.select(keys(schemas, schemas.file_no).alias("l"), F.col("fields").alias("before"))
+    files = files.select("record", "writer", "file_no", keys(files, files.file_no).alias("k"), keys(files, files.last).alias("l"))
+    pairs = files.join(now, "k").join(then, "l").select("record", "writer", "file_no", "fields", "before")
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         allow_deep_nesting()
@@ -349,8 +460,8 @@ def canonical_names(changes: DataFrame) -> DataFrame:
 
 def consistent_table(df: DataFrame, record: str, record_id: str, text: str, names: DataFrame) -> DataFrame:
     """One row per record: its id and ``fields``, a map from canonical field to value (text; JSON for arrays),
-    the same for every file whatever names and types it was written with. A record that has two fields of one
-    canonical name keeps the value of the canonical one."""
+    the same for every file whatever names and types it was written with. Of two fields of one canonical name in a record, the
+    canonical one has it and the other one keeps its own, so that no value is lost."""
     found = names.where(F.col("record") == record).limit(GRAPH_LIMIT + 1).collect()
     if len(found) > GRAPH_LIMIT:
         raise ValueError("more renamed fields than a schema has")
@@ -366,9 +477,12 @@ def consistent_table(df: DataFrame, record: str, record_id: str, text: str, name
                     cells.append(None)
                     continue
                 row: dict[str, str | None] = {}
-                for path, inner in sorted(leaves(value), key=lambda x: to.get(x[0], x[0]) != x[0], reverse=True):
+                for path, inner in sorted(leaves(value), key=lambda x: (to.get(x[0], x[0]) != x[0], x[0])):
                     single = inner[0] if isinstance(inner, list) and len(inner) == 1 else inner
-                    row[to.get(path, path)] = None if single is None else single if isinstance(single, str) else _json(single)
+                    name = to.get(path, path)
+                    while name in row:
+                        name = path if path not in row else name + "'"
+                    row[name] = None if single is None else single if isinstance(single, str) else _json(single)
                 cells.append(sorted(row.items()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.map_(pa.string(), pa.string()))], ["record_id", "fields"])
 

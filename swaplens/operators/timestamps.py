@@ -1,13 +1,13 @@
 """Normalising timestamps of mixed formats, precisions and zones to one UTC instant.
 
 ``parse_instants`` splits each text into wall-clock parts and, if it has one, its own offset;
-``estimate_zones`` finds the zone of a source that declares none by aligning its zone-less wall
-times with ingestion times: of the candidate offset histories (IANA zones) it takes the one with
+``estimate_zones`` finds the zone of a source that declares none, or that no table of sources knows, by aligning its
+zone-less wall times with ingestion times: of all offset histories (IANA zones) it takes the one with
 the fewest violations, where a violation is an instant after its ingestion or further before it
 than an ordinary load takes; ``normalise_timestamps`` converts.
 
-Everything is Column expressions, so a scan of any size is map-only; only the estimate shuffles,
-and that only one partial count per source.
+Everything is Column expressions, so a scan of any size is map-only; only the estimate shuffles, and that counts per source,
+wall hour and distance in quarters of an hour, of which there are as many as a calendar has, not as rows.
 
 Defined results: null, placeholders, impossible dates or times, a date or a time alone, numbers up
 to zero and unknown abbreviations give no instant. A wall time that occurs twice is its earlier
@@ -16,8 +16,12 @@ instant; one that is skipped takes the offset before the change.
 
 from __future__ import annotations
 
+import zoneinfo
 from collections.abc import Callable
+from datetime import UTC, datetime, timedelta
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,43 +149,68 @@ def wall_to_utc_us(wall_us: Column, zone: Column) -> Column:
     return _micros(F.convert_timezone(zone, F.lit("UTC"), wall))
 
 
-def estimate_zones(df: DataFrame, source: str, wall_us: str, ingested: str, candidates: list[str], usual_lag_s: int = 3 * 3600) -> DataFrame:
+AREAS = ("Africa/", "America/", "Antarctica/", "Asia/", "Atlantic/", "Australia/", "Europe/", "Indian/", "Pacific/")
+
+
+def all_zones() -> list[str]:
+    """The names of all regional zones, and UTC."""
+    return sorted({"UTC"} | {z for z in zoneinfo.available_timezones() if z.startswith(AREAS)})
+
+
+def quarter_offsets(zone: str, hours: np.ndarray) -> np.ndarray:
+    """The offset of a zone in quarters of an hour at each wall hour since 1970; weeks without a change are looked up once."""
+    tz = zoneinfo.ZoneInfo(zone)
+    at = lambda h: round((datetime(1970, 1, 1) + timedelta(hours=int(h))).replace(tzinfo=tz).utcoffset().total_seconds() / 900)
+    weeks, which = np.unique(hours // 168, return_inverse=True)
+    first, last = np.array([at(168 * w) for w in weeks]), np.array([at(168 * w + 168) for w in weeks])
+    out = first[which]
+    for k in np.flatnonzero((first != last)[which]):
+        out[k] = at(hours[k])
+    return out
+
+
+def estimate_zones(df: DataFrame, source: str, wall_us: str, ingested: str, candidates: list[str] | None = None, usual_lag_s: int = 3 * 3600) -> DataFrame:
     """One row per source: ``source, est_zone, violations, zone_less_rows``.
 
-    For every candidate the rows whose instant lies after ingestion, or more than ``usual_lag_s``
-    before it, are counted in one partial aggregation; the fewest violations win, then the smallest
-    mean distance, then the name. Sources without a zone-less row are absent. ``candidates`` is a
-    short list of zone names.
+    Rows are counted by source, wall hour and the least offset (in quarters of an hour) with which their instant does not lie after
+    ingestion. For every candidate (default: ``all_zones``) the counts whose offset is less, or so much more that the instant
+    lies more than ``usual_lag_s`` before ingestion, are violations; the fewest win, then the smallest mean
+    distance, then the name. Sources without a zone-less row, and rows without a source, are absent.
     """
-    at = F.unix_micros(F.col(ingested).cast("timestamp"))
-    local = df.where(F.col(wall_us).isNotNull() & F.col(ingested).isNotNull())
-    costs = []
-    for i, zone in enumerate(candidates):
-        lag = at - wall_to_utc_us(F.col(wall_us), F.lit(zone))
-        bad = (lag < 0) | (lag > usual_lag_s * _US)
-        costs += [F.sum(bad.cast("long")).alias(f"v{i}"), F.sum(F.when(~bad, F.abs(lag) / _US)).alias(f"d{i}")]
-    counted = local.groupBy(source).agg(F.count(F.lit(1)).alias("zone_less_rows"), *costs)
-    ranked = F.array_sort(F.array(*[F.struct(F.col(f"v{i}").alias("v"), F.coalesce(F.col(f"d{i}"), F.lit(0.0)).alias("d"), F.lit(z).alias("z")) for i, z in enumerate(candidates)]))
-    best = F.element_at(ranked, 1)
-    return counted.select(source, best["z"].alias("est_zone"), best["v"].alias("violations"), "zone_less_rows")
+    zones = sorted(candidates) if candidates is not None else all_zones()
+    quarter = 900 * _US
+    least = F.ceil((F.col(wall_us) - F.unix_micros(F.col(ingested).cast("timestamp"))) / F.lit(quarter)).cast("long")
+    local = df.where(F.col(wall_us).isNotNull() & F.col(ingested).isNotNull() & F.col(source).isNotNull())
+    counts = local.groupBy(F.col(source).cast("string").alias("src"), F.floor(F.col(wall_us) / F.lit(3600 * _US)).alias("hour"), F.least(F.greatest(least, F.lit(-200)), F.lit(200)).alias("least")).agg(F.count(F.lit(1)).alias("n"))
+    most = usual_lag_s // 900
+
+    def best(frame: pd.DataFrame) -> pd.DataFrame:
+        hours, need, n = frame["hour"].to_numpy(), frame["least"].to_numpy(), frame["n"].to_numpy()
+        ranked = []
+        for zone in zones:
+            late = quarter_offsets(zone, hours) - need
+            bad = (late < 0) | (late >= most)
+            ranked.append((int(n[bad].sum()), float((late * n)[~bad].sum()) / max(1, int(n[~bad].sum())), zone))
+        violations, _, zone = min(ranked)
+        return pd.DataFrame({source: [frame["src"].iloc[0]], "est_zone": [zone], "violations": [violations], "zone_less_rows": [int(n.sum())]})
+
+    return counts.groupBy("src").applyInPandas(best, f"`{source}` string, est_zone string, violations long, zone_less_rows long")
 
 
 def normalise_timestamps(df: DataFrame, text: str, sources: DataFrame, source: str, ingested: str, candidates: list[str] | None = None, out: str = "instant_us") -> DataFrame:
     """``df`` with ``out``: microseconds since 1970 UTC, or null.
 
-    ``sources`` has ``source, zone, date_order`` (unique by source). A declared zone holds; a source
-    without one gets the estimate of ``estimate_zones`` over ``candidates`` (default: UTC and the declared
-    zones, a list as short as the table of sources).
+    ``sources`` has ``source, zone, date_order`` (unique by source). A declared zone holds; a source without one, or
+    that ``sources`` does not know, gets the estimate of ``estimate_zones`` over ``candidates`` (default: all zones).
     """
     known = sources.select(F.col(source).alias("__src"), F.col("zone").alias("__zone"), F.col("date_order").alias("__order"))
-    joined = df.join(known, F.col(source) == F.col("__src"), "left")
-    parsed = parse_instants(joined, text, "__order", "__t")
-    undeclared = sources.where(F.col("zone").isNull()).select(F.col(source).alias("__src"))
-    zones = candidates if candidates is not None else sorted({"UTC"} | {r[0] for r in sources.select("zone").distinct().limit(600).collect() if r[0]})
-    missing = parsed.where(F.col("__zone").isNull() & F.col("__t_offset_min").isNull() & F.col("__t_named_zone").isNull())
-    if candidates is not None or undeclared.limit(1).count():
-        estimates = estimate_zones(missing, source, "__t_wall_us", ingested, zones).select(F.col(source).alias("__e_src"), F.col("est_zone").alias("__t_est_zone"))
-        parsed = parsed.join(estimates, F.col(source).eqNullSafe(F.col("__e_src")), "left").drop("__e_src")
+    parsed = parse_instants(df.join(known, F.col(source) == F.col("__src"), "left"), text, "__order", "__t")
+    declared = known.where("__zone is not null")
+    undeclared = df.select(source).where(F.col(source).isNotNull()).distinct().join(declared, F.col(source) == F.col("__src"), "left_anti")
+    if undeclared.limit(1).count():  # reads one column
+        missing = parsed.where(F.col("__zone").isNull() & F.col("__t_offset_min").isNull() & F.col("__t_named_zone").isNull())
+        estimates = estimate_zones(missing, source, "__t_wall_us", ingested, candidates).select(F.col(source).alias("__e_src"), F.col("est_zone").alias("__t_est_zone"))
+        parsed = parsed.join(estimates, F.col(source) == F.col("__e_src"), "left").drop("__e_src")
     else:
         parsed = parsed.withColumn("__t_est_zone", F.lit(None).cast("string"))
     zone = F.coalesce("__t_named_zone", "__zone", "__t_est_zone")

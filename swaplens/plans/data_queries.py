@@ -21,13 +21,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_zone_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per exporter, the zone that its own records suggest when none is declared, beside the declared one."""
+    """Per exporter, the zone of all that its own records suggest when none is declared, beside the declared one."""
     records = read_table(spark, sf_dir, "imported_records").select("exporter", "recorded_at", "loaded_at")
     sources = read_table(spark, sf_dir, "export_sources").select("exporter", "zone", "date_order")
-    zones = sorted({r[0] for r in sources.select("zone").distinct().limit(600).collect() if r[0]})
     parsed = timestamps.parse_instants(records.join(sources, "exporter", "left"), "recorded_at", "date_order")
     local = parsed.where("ts_offset_min is null and ts_named_zone is null")
-    got = timestamps.estimate_zones(local, "exporter", "ts_wall_us", "loaded_at", zones)
+    got = timestamps.estimate_zones(local, "exporter", "ts_wall_us", "loaded_at")
     return got.join(sources, "exporter", "left").select("exporter", "zone", "est_zone", "violations", "zone_less_rows")
 
 
@@ -40,11 +39,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All flat tables of captured_interactions.metadata with inlined columns, keys and foreign keys, stacked."""
-    captures = spread(read_table(spark, sf_dir, "captured_interactions").select("capture_id", "metadata"))
-    graph = nested.schema_graphs(captures, {"metadata": []})["metadata"]
-    rows = nested.shred(captures, "capture_id", {"metadata": nested.compile_tables(graph)})
-    return rows.withColumn("columns", F.to_json("columns"))
+    """All flat tables of the four nested columns with inlined columns, keys and foreign keys, stacked."""
+    captures = spread(read_table(spark, sf_dir, "captured_interactions").select("capture_id", "chunks", "metadata"))
+    imports = spread(read_table(spark, sf_dir, "imported_records").select("import_id", F.to_json("messages").alias("messages"), "response_tool_calls"))
+    parts = []
+    for df, key, columns in ((captures, "capture_id", ["chunks", "metadata"]), (imports, "import_id", ["messages", "response_tool_calls"])):
+        graphs = nested.schema_graphs(df, {c: [] for c in columns})
+        parts.append(nested.shred(df, key, {c: nested.compile_tables(graphs[c]) for c in columns}))
+    return parts[0].unionByName(parts[1]).withColumn("columns", F.to_json("columns"))
 
 
 def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,12 +61,13 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record of captured_interactions.metadata under one canonical schema."""
-    changes = cut_lineage(schema_drift.drift_report(_profiles(spark, sf_dir)))
-    names = schema_drift.canonical_names(changes)
+    """Every record of captured_interactions.metadata and of fingerprints.as_metadata under one canonical schema each."""
+    names = cut_lineage(schema_drift.canonical_names(cut_lineage(schema_drift.drift_report(_profiles(spark, sf_dir)))))
     captures = spread(read_table(spark, sf_dir, "captured_interactions").select("capture_id", "metadata"))
-    table = schema_drift.consistent_table(captures, "metadata", "capture_id", "metadata", names)
-    return table.withColumn("fields", F.to_json("fields"))
+    prints = spread(read_table(spark, sf_dir, "fingerprints").select("fingerprint_id", "as_metadata"))
+    a = schema_drift.consistent_table(captures, "metadata", "capture_id", "metadata", names).withColumn("record", F.lit("metadata"))
+    b = schema_drift.consistent_table(prints, "as_metadata", "fingerprint_id", "as_metadata", names).withColumn("record", F.lit("as_metadata"))
+    return a.unionByName(b).withColumn("fields", F.to_json("fields"))
 
 
 QUERIES: dict[str, Query] = {

@@ -49,3 +49,54 @@ def test_consistent_table(spark):
     names = drift.canonical_names(drift.drift_report(drift.field_profiles(df, "m", "doc")))
     table = drift.consistent_table(df, "m", "id", "doc", names).collect()
     assert {tuple(r.fields) for r in table} == {("provider",)} and len(table) == 18
+
+
+def test_an_object_moves_as_a_whole(spark):
+    rng = random.Random(4)
+    key = lambda n: f"{rng.getrandbits(4 * n):0{n}x}"
+    one = [{"trace": {"id": key(32), "at": key(16), "kind": f"k{k % 5}"}, "n": k} for k in range(12)]
+    two = [{"origin": {"span": {"id": key(32), "at": key(16), "kind": f"k{k % 5}"}}, "n": k} for k in range(12)]
+    got = report(spark, {("w", 1): one, ("w", 2): two})
+    assert got == [("w", 2, "renamed", f"trace.{x}", f"origin.span.{x}") for x in ("at", "id", "kind")]
+    nodes = drift.node_mapping(["trace.at", "trace.id"], ["origin.span.at", "origin.span.id"], lambda f, g, a, b: 0.0 if a == b else 3.0)
+    assert nodes == {"trace": "origin.span"}
+
+
+def test_profiles_do_not_depend_on_order_or_split(spark):
+    rng = random.Random(5)
+    docs = [json.dumps({"a": "".join(rng.choice("ab-_ 19XY.") for _ in range(rng.randrange(40))), "b": rng.random()}) for _ in range(400)]
+    seen = set()
+    for split in (1, 7):
+        rng.shuffle(docs)
+        df = spark.createDataFrame([("w", 1, d) for d in docs], "writer string, file_no int, doc string").repartition(split)
+        fields = drift.file_schemas(drift.field_profiles(df, "m", "doc", flush=2)).first().fields
+        profile = drift._schema([f.asDict(True) | {"types": [e.asDict() for e in f.types], "shapes": [e.asDict() for e in f.shapes]} for f in fields])[0]
+        seen.add(str(sorted((k, p.row()[:4]) for k, p in profile.items())))
+    assert len(seen) == 1
+
+
+def test_a_small_file_in_a_large_one_shares_its_values():
+    small, large = drift.Profile(), drift.Profile()
+    for k in range(2000):
+        large.add(f"value {k}")
+        if k % 80 == 0:
+            small.add(f"value {k}")
+    assert drift.shared_values(small, large) > 0.95
+
+
+def test_assignment_matches_brute_force():
+    from itertools import permutations
+
+    rng = random.Random(6)
+    for _ in range(60):
+        n, m = rng.randrange(1, 5), rng.randrange(1, 5)
+        costs = {(i, j): rng.random() * 2.5 for i in range(n) for j in range(m) if rng.random() < 0.7}
+        total = lambda pairs: sum(costs[p] for p in pairs) + n + m - 2 * len(pairs)
+        best = min(total([(i, j) for i, j in zip(range(n), order, strict=False) if j is not None and (i, j) in costs]) for order in permutations([*range(m), *[None] * n], n))
+        assert abs(total(drift._assign(costs, n, m)) - best) < 1e-9
+
+
+def test_no_value_is_lost_in_the_consistent_table(spark):
+    df = spark.createDataFrame([(1, json.dumps({"a": "x", "b": "y", "c": 3}))], "id long, doc string")
+    names = spark.createDataFrame([("m", "a", "a"), ("m", "b", "a")], "record string, field string, canonical string")
+    assert drift.consistent_table(df, "m", "id", "doc", names).first().fields == {"a": "x", "b": "y", "c": "3"}

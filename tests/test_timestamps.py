@@ -61,6 +61,21 @@ def test_zone_is_estimated_from_ingestion_times(spark):
     assert all(datetime.fromtimestamp(r.us / 1e6, UTC).hour == 14 for r in got)
 
 
+def test_undeclared_and_unknown_sources_get_their_offsets_back(spark):
+    """Of all zones the estimate has the offsets of the true one, whatever its name, also where only the table of sources lacks the source."""
+    zones = {"a": "America/New_York", "b": "Asia/Kolkata", "c": "Australia/Sydney", "d": "Europe/Berlin"}
+    rows, want = [], {}
+    for source, name in zones.items():
+        for k in range(400):
+            at = datetime(2025, 1 + k % 12, 1 + k % 28, k % 24, (7 * k) % 60, tzinfo=UTC)
+            want[len(rows)] = int(at.timestamp()) * 1_000_000
+            rows.append((len(rows), source, at.astimezone(ZoneInfo(name)).strftime("%Y-%m-%d %H:%M:%S"), datetime.fromtimestamp(at.timestamp() + 60 * (1 + k % 25), UTC).replace(tzinfo=None)))
+    df = spark.createDataFrame(rows, "id int, exporter string, t string, loaded timestamp_ntz")
+    sources = spark.createDataFrame([("a", None, "ymd"), ("b", None, "ymd")], "exporter string, zone string, date_order string")
+    got = {r.id: r.us for r in timestamps.normalise_timestamps(df, "t", sources, "exporter", "loaded", out="us").collect()}
+    assert sum(got[i] == us_ for i, us_ in want.items()) >= 0.995 * len(want)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "exporter string, t string, loaded timestamp")
     sources = spark.createDataFrame(SOURCES, "exporter string, zone string, date_order string")
