@@ -119,9 +119,12 @@ class Profile:
         n = self.numbers
         return (self.rows, sorted(self.types.items()), sorted(self.shapes.items()), sorted(heapq.nsmallest(SKETCH, self.hashes)), self.low if n else None, self.high if n else None, self.total, n)
 
+    def smallest(self) -> list[int]:
+        return heapq.nsmallest(SKETCH, self.hashes)
+
     def distinct(self) -> float:
         """How many values there are, about: counted while they are few, else by how near the smallest hashes lie."""
-        return len(self.hashes) if len(self.hashes) < SKETCH else (SKETCH - 1) * 2.0**32 / max(1, max(self.hashes))
+        return len(self.hashes) if len(self.hashes) < SKETCH else (SKETCH - 1) * 2.0**32 / max(1, self.smallest()[-1])
 
     def type(self) -> str | None:
         return min(self.types, key=lambda k: (-self.types[k], k)) if self.types else None
@@ -220,8 +223,9 @@ def content_likeness(a: Profile, b: Profile) -> tuple[float, float]:
 def shared_values(a: Profile, b: Profile) -> float:
     """The share of the values of the field with fewer that the other has too. Of many values each profile has the smallest hashes
     only, so both are compared up to where both are complete."""
-    known = min(max(p.hashes) if len(p.hashes) >= SKETCH else 1 << 32 for p in (a, b))
-    ours, theirs = {h for h in a.hashes if h <= known}, {h for h in b.hashes if h <= known}
+    sides = [p.smallest() for p in (a, b)]
+    known = min(side[-1] if len(side) == SKETCH else 1 << 32 for side in sides)
+    ours, theirs = ({h for h in side if h <= known} for side in sides)
     return len(ours & theirs) / max(1, min(len(ours), len(theirs)))
 
 

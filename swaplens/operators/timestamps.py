@@ -194,6 +194,7 @@ def estimate_zones(df: DataFrame, source: str, wall_us: str, ingested: str, cand
         violations, _, zone = min(ranked)
         return pd.DataFrame({source: [frame["src"].iloc[0]], "est_zone": [zone], "violations": [violations], "zone_less_rows": [int(n.sum())]})
 
+    counts = counts.repartition(df.sparkSession.sparkContext.defaultParallelism, "src")  # few rows, but much to compute for each source
     return counts.groupBy("src").applyInPandas(best, f"`{source}` string, est_zone string, violations long, zone_less_rows long")
 
 
