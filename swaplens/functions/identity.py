@@ -96,6 +96,11 @@ def provider_of_model(model: Column) -> Column:
     return out
 
 
+def provider_of_name(model: str) -> str | None:
+    """As ``provider_of_model``, for one name."""
+    return next((name for name, prefixes in MODEL_PREFIXES if model.lower().startswith(tuple(prefixes))), None)
+
+
 def conversation_key(system: Column, messages: Column) -> Column:
     """Semantic key of a conversation without tools: ``messages`` is an array of (role, content)."""
     plain = F.transform(messages, lambda m: F.struct(m["content"].alias("content"), m["role"].alias("role")))

@@ -50,6 +50,9 @@ def _show(value) -> str:
     return value[1] if isinstance(value, tuple) else canonical(value)
 
 
+OUTSIDE = " (outside the scope)"
+
+
 def compare_leaves(a, b, scope: list[str] | None = None) -> tuple[int, int, list[str], list[str]]:
     """(matched, total, differences, scope entries that are nowhere)."""
     left, right = flatten(a), flatten(b)
@@ -64,7 +67,7 @@ def compare_leaves(a, b, scope: list[str] | None = None) -> tuple[int, int, list
         matched += ok and counts
         if not ok:
             what = "missing" if p not in right else "extra" if p not in left else f"{_show(left[p])} != {_show(right[p])}"
-            notes.append(f"{p}: {what}" + ("" if counts else " (outside the scope)"))
+            notes.append(f"{p}: {what}" + ("" if counts else OUTSIDE))
     return matched, total, notes, absent
 
 
@@ -85,7 +88,8 @@ def compare_json(base: str | None, target: str | None, scope: list[str] | None =
     if scope and len(absent) == len(scope):
         return 0.0, None, "", "no scope entry occurs: " + ", ".join(absent)
     notes += [f"{s}: in neither" for s in absent]
-    detail = "; ".join(notes[:6]) + (f"; … (+{len(notes) - 6} more)" if len(notes) > 6 else "")
+    notes.sort(key=lambda note: note.endswith(OUTSIDE))  # those that decide come first
+    detail = capped(notes)
     score = matched / total if total else 1.0
     return score, matched == total, detail, None
 
@@ -104,7 +108,12 @@ def compare_calls(base: list[dict], target: list[dict]) -> tuple[float, bool, st
         matched, count, differences, _ = compare_leaves(a.get("arguments"), b.get("arguments"))
         total += matched / count if count else 1.0
         notes += [f"[{k}].{d}" for d in differences]
-    return total / n, not notes, "; ".join(notes[:6])
+    return total / n, not notes, capped(notes)
+
+
+def capped(notes: list[str], most: int = 6) -> str:
+    """The first differences, and how many more there are."""
+    return "; ".join(notes[:most]) + (f"; … (+{len(notes) - most} more)" if len(notes) > most else "")
 
 
 def verdict_of(text: str) -> dict | None:

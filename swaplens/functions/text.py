@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-FENCE = r"(?s)^\s*```[\w+-]*[ \t]*\r?\n(.*?)\r?\n?```\s*$"
+FENCE = r"(?s)^\s*```[\w+-]*[ \t]*\r?\n(.*?)\r?\n?[ \t]*```\s*$"
 CLIP, CLIPPED = 6000, "\n[... truncated]"
 #: Header names whose values are never kept.
 SECRET_HEADERS = ("authorization", "proxy-authorization", "api-key", "x-api-key", "cookie", "set-cookie", "x-goog-api-key")
@@ -30,19 +30,26 @@ SECRETS = (
 )
 
 
+#: Lower-case letters of the Latin and Greek scripts that case folding replaces.
+FOLDED = (("ß", "ss"), ("ſ", "s"), ("ς", "σ"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"), ("ŉ", "ʼn"))
+
+
 def strip_fence(text: Column) -> Column:
     """The inside of a Markdown fence that wraps the whole text; other texts as they are."""
     return F.when(text.rlike(FENCE), F.regexp_extract(text, FENCE, 1)).otherwise(text)
 
 
 def normalize(text: Column) -> Column:
-    """White space runs as one space, no outer space, lower case (SQL twin of ``normalize_exact``)."""
-    return F.lower(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
+    """White space runs as one space, no outer space, folded case: lower case, but for the letters that fold to others."""
+    low = F.lower(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
+    for letter, folded in FOLDED:
+        low = F.replace(low, F.lit(letter), F.lit(folded))
+    return low
 
 
 @pandas_udf(T.StringType())
 def normalize_exact(text: pd.Series) -> pd.Series:
-    """As ``normalize`` with full case folding, which no built-in has."""
+    """As ``normalize``, folded by Python."""
     return text.map(lambda x: None if x is None else " ".join(x.split()).casefold())
 
 

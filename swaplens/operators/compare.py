@@ -91,12 +91,11 @@ def register_python(name: str, compare: Callable[[str | None, str | None, str |
 
 def parse_spec(spec: str) -> list[Entry]:
     """``exact,json:a,b,fuzzy``: names by commas; a word after ``json:`` that is no name goes on with its fields;
-    ``all`` is every offline comparator. Of entries alike the first counts."""
+    ``all`` is every offline comparator. Names are read without case and empty ones skipped; of entries alike the first counts."""
     entries: list[Entry] = []
-    for token in (t.strip() for t in spec.split(",")):
+    for token in filter(None, (t.strip() for t in spec.split(","))):
         name, colon, argument = token.partition(":")
-        if not token:
-            raise ValueError("an empty comparator name")
+        name, argument = name.strip().lower(), argument.strip()
         if name == "all" and not colon:
             entries += [Entry(n) for n in OFFLINE]
         elif name in COMPARATORS:
@@ -107,6 +106,8 @@ def parse_spec(spec: str) -> list[Entry]:
             entries[-1] = Entry("json", (*entries[-1].fields, token))
         else:
             raise ValueError(f"no comparator {token}; there are {', '.join(sorted(COMPARATORS))}")
+    if not entries:
+        raise ValueError("no comparator is named")
     return list({e.label: e for e in entries}.values())
 
 

@@ -46,7 +46,7 @@ def _sql_fence(x: str) -> str:
 
 
 def _sql_norm(x: str) -> str:
-    return f"lower(trim(regexp_replace({x}, '{_SPACE}+', ' ', 'g')))"
+    return f"replace(replace(lower(trim(regexp_replace({x}, '{_SPACE}+', ' ', 'g'))), 'ß', 'ss'), 'ς', 'σ')"
 
 
 _EXACT_SQL = f"SELECT row_id, {_sql_norm(_sql_fence('baseline_text'))} = {_sql_norm(_sql_fence('target_text'))} AS passed FROM row_results WHERE status = 'ok'"

@@ -38,6 +38,29 @@ def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
     return flat.withColumn("kind", kind)
 
 
+def write_documents(df: DataFrame, folder: str, document: str = "document") -> DataFrame:
+    """Writes ``id, document`` rows as one JSON file each, whole or not at all (a temporary file is renamed); ``folder`` is one that all
+    executors share. Gives the ids written; nothing is written until it is read."""
+
+    def per_task(batches):
+        import os
+        import uuid
+        from pathlib import Path
+
+        import pyarrow as pa
+
+        root = Path(folder)
+        root.mkdir(parents=True, exist_ok=True)
+        for batch in batches:
+            for stem, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                draft = root / f".{uuid.uuid4().hex}.tmp"
+                draft.write_text(text, encoding="utf-8")
+                os.replace(draft, root / f"{stem}.json")
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["id"])
+
+    return df.select("id", identity.file_stem(F.col("id")).alias("stem"), document).mapInArrow(per_task, "id string")
+
+
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """The Parquet copy, partitioned by kind so that scans of baselines prune the rest."""
     df.write.mode(mode).partitionBy("kind").parquet(path)

@@ -93,7 +93,8 @@ def message_of(m) -> dict:
     if isinstance(m.get("kwargs"), dict):
         kind = (m.get("id") or ["HumanMessage"])[-1]
         m = {"role": ROLES.get(kind, "user"), **m["kwargs"]}
-    role = ROLES.get(m.get("role") or m.get("type") or "user", m.get("role") or "user")
+    said = m.get("role") or m.get("type") or "user"
+    role = ROLES.get(said) or ROLES.get(str(said).lower()) or (str(m["role"]).lower() if m.get("role") else "user")
     out = {"role": role, "content": _text(m.get("content"))}
     calls = m.get("tool_calls") or (m.get("additional_kwargs") or {}).get("tool_calls")
     if calls:
@@ -263,3 +264,38 @@ def synthesize(imported: DataFrame) -> DataFrame:
     content = F.to_json(F.struct(F.col("model").alias("model"), F.col("messages").alias("messages_json"), system.alias("system_json")))
     own = F.sha2(content.cast("binary"), 256)
     return imported.withColumn("id", identity.import_id(F.col("source"), F.col("record_id"), own)).withColumn("request_content", content).withColumn("response_status", F.lit(200)).withColumn("imported", F.lit(True))
+
+
+def documents(imported: DataFrame) -> DataFrame:
+    """``id, document`` of imported records (see ``synthesize``) as stored interactions of the chat dialect."""
+    from swaplens.functions import identity
+
+    rows = synthesize(imported)
+    names = ["id", "model", "provider", "system", "messages", "response_text", "response_tool_calls", "usage", "recorded_at", "category", "source"]
+
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                wire = lambda calls: [{"id": c.get("id") or "", "type": "function", "function": {"name": c.get("name"), "arguments": identity.canonical(c.get("arguments") or {})}} for c in calls or []]
+                turns = [{"role": "system", "content": r["system"]}] if r["system"] else []
+                for m in json.loads(r["messages"] or "[]"):
+                    calls = wire(m.get("tool_calls"))
+                    turns.append({k: v for k, v in m.items() if k != "tool_calls"} | ({"tool_calls": calls} if calls else {}))
+                calls = wire(json.loads(r["response_tool_calls"] or "null"))
+                said = {"role": "assistant", "content": r["response_text"]} | ({"tool_calls": calls} if calls else {})
+                usage = json.loads(r["usage"] or "null") or {}
+                counts = {"prompt_tokens": usage.get("input_tokens"), "completion_tokens": usage.get("output_tokens")}
+                answer = {"model": r["model"], "choices": [{"index": 0, "message": said, "finish_reason": "tool_calls" if calls else "stop"}], "usage": {k: v for k, v in counts.items() if v is not None} or None}
+                meta = {"provider": r["provider"], "model": r["model"], "recorded_at": r["recorded_at"], "category": r["category"], "imported": True, "imported_from": r["source"]}
+                document = {
+                    "metadata": {k: v for k, v in meta.items() if v is not None},
+                    "request": {"method": "POST", "url": "https://api.openai.com/v1/chat/completions", "headers": [], "content": json.dumps({"model": r["model"], "messages": turns}, ensure_ascii=False)},
+                    "response_status": 200,
+                    "response_headers": [["content-type", "application/json"]],
+                    "chunks": [{"data": json.dumps(answer, ensure_ascii=False), "timestamp_offset": 0.0}],
+                }
+                out.append((r["id"], json.dumps(document, ensure_ascii=False)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in range(2)], ["id", "document"])
+
+    return rows.select(*names).mapInArrow(per_task, "id string, document string")

@@ -8,6 +8,7 @@ from decimal import Decimal, InvalidOperation
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from swaplens.operators.rates import BUCKETS, glob_regex
 
@@ -73,3 +74,37 @@ def read_snapshots(spark: SparkSession, folder: str, profiles: list[str]) -> Dat
     table = spark.createDataFrame(kept, SCHEMA)
     order = spark.createDataFrame(list(enumerate(profiles)), "profile_ord int, profile string")
     return table.join(order, "profile").drop("currency")
+
+
+def digest(folder: str, profile: str) -> str:
+    """ID-12: the identity of a profile's documents: a hash over their canonical texts in order of date and name."""
+    from swaplens.functions.identity import canonical, digest_text
+
+    docs = [(d["effective"], p.stem, canonical(d)) for p in sorted(Path(folder).rglob("*.json")) if (d := json.loads(p.read_text(encoding="utf-8"))).get("profile") == profile]
+    return digest_text(*[text for _, _, text in sorted(docs)])
+
+
+def profiles(folders: list[str]) -> list[tuple[str, str, list[str]]]:
+    """(profile, currency, dates) of all folders; a profile of a later folder replaces that of an earlier one as a whole (SET-1)."""
+    found: dict[str, tuple[str, str, list[str]]] = {}
+    for folder in folders:
+        rows = [r for path in sorted(Path(folder).rglob("*.json")) for r in check(json.loads(path.read_text(encoding="utf-8")), path.stem)]
+        for name in {r[0] for r in rows}:
+            mine = [r for r in rows if r[0] == name]
+            found[name] = (name, mine[0][3], sorted({r[2].isoformat() for r in mine}))
+    return [found[k] for k in sorted(found)]
+
+
+def read_catalog(spark: SparkSession, folders: list[str], wanted: list[str]) -> DataFrame:
+    """As ``read_snapshots`` over several folders, of which a later one's profile replaces an earlier one's as a whole."""
+    home = {name: folder for folder in folders for name, _, _ in profiles([folder])}
+    if missing := [p for p in wanted if p not in home]:
+        raise LookupError(f"no profile {', '.join(missing)}; there are {', '.join(sorted(home)) or 'none'}")
+    currencies = {c for folder in folders for name, c, _ in profiles([folder]) if name in wanted and home[name] == folder}
+    if len(currencies) > 1:
+        raise SnapshotError(f"more than one currency: {sorted(currencies)}")
+    out = None
+    for k, name in enumerate(wanted):
+        part = read_snapshots(spark, home[name], [name]).drop("profile_ord").withColumn("profile_ord", F.lit(k))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -11,7 +11,8 @@ def test_specifications():
     labels = lambda s: [e.label for e in compare.parse_spec(s)]
     assert labels("exact,json:a,b,fuzzy,exact") == ["exact", "json:a,b", "fuzzy"]
     assert labels("all") == ["exact", "fuzzy", "json", "toolcalls"]
-    for bad in ("", "exact,", "nope", "exact:x", "json:", "exact,b"):
+    assert labels("Exact, ,JSON: a ,b,exact,") == ["exact", "json:a,b"]
+    for bad in ("", ",", "nope", "exact:x", "json:", "exact,b"):
         with pytest.raises(ValueError):
             compare.parse_spec(bad)
 
@@ -41,6 +42,8 @@ def test_live_calls_retry(spark):
     df = spark.createDataFrame([(1, "u", "x"), (2, "u", "slow"), (3, "u", "bad")], "row_id long, url string, body string")
     got = {r.row_id: (r.status, r.text, r.attempts) for r in live.ask(df, client, "openai").collect()}
     assert got == {1: ("ok", "hi", 1), 2: ("error", None, 3), 3: ("error", None, 1)}
+    tried = lambda status: live.ask(df.limit(1), lambda url, body: (status, {"retry-after": "0"}, ""), "openai").first().attempts
+    assert [tried(s) for s in (431, 529, 408, 504)] == [3, 3, 1, 1]
 
 
 def test_retry_delay():

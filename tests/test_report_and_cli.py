@@ -70,3 +70,71 @@ def test_windows_and_dedup_are_streams(spark, tmp_path):
     query = ingest.pass_rate_windows(ingest.record_once(stream, "id", "at").drop("id"), "at", "ok", "category", late=None).writeStream.format("memory").queryName("w1").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("w1").columns == ["window_start", "category", "rows", "passed"]
+
+
+def stored(prompt, answer, model="gpt-x", at="2025-01-01T00:00:00+00:00", url="https://api.openai.com/v1/chat/completions", **meta):
+    import json
+
+    body = {"model": model, "choices": [{"message": {"content": answer}, "finish_reason": "stop"}], "usage": {"prompt_tokens": 10, "completion_tokens": 4}}
+    return json.dumps({"metadata": {"recorded_at": at, **meta}, "request": {"method": "POST", "url": url, "headers": [], "content": json.dumps({"model": model, "messages": [{"role": "user", "content": prompt}]})}, "response_status": 200, "response_headers": [["content-type", "application/json"]], "chunks": [{"data": json.dumps(body), "timestamp_offset": 0.1}]})
+
+
+def test_corpus_to_report_and_migration(spark, tmp_path, monkeypatch):
+    import json
+
+    home = tmp_path / "corpus"
+    home.mkdir()
+    (home / "a1.json").write_text(stored("q1", "old"))
+    (home / "a2.json").write_text(stored("q1", "Straße", at="2025-02-01T00:00:00+00:00", category="c"))
+    (home / "b.json").write_text(stored("q2", "two"))
+    (home / "c.json").write_text(stored("q3", "three").replace('"response_status": 200', '"response_status": 500'))
+    (home / "migration__a2__to__gpt-y.json").write_text(stored("q1", "STRASSE", "gpt-y"))
+    (tmp_path / "rates").mkdir()
+    (tmp_path / "rates" / "p.json").write_text(json.dumps({"schema_version": 1, "profile": "p", "currency": "USD", "effective": "2025-01-01", "models": [{"match": ["gpt-*"], "unit": "per_mtok", "rates": {"input": "1", "output": "2"}}]}))
+    args = ["report", "--corpus", str(home), "--target", "gpt-y", "--target-provider", "openai", "--out-dir", str(tmp_path / "out"), "--out", "r", "--format", "md", "--pricing-dir", str(tmp_path / "rates"), "--pricing", "p"]
+    assert cli.main([*args, "--min-pass", "exact=1", "--strict"]) == 0
+    text = (tmp_path / "out" / "r.md").read_text()
+    assert "| exact | 1 | 1 | 0 | 0 |" in text and "| skipped | no | 2 |" in text and "older recordings" in text and "$0.000018" in text and "### Row" in text
+    asked = []
+
+    def client(url, body):
+        asked.append(1)
+        return 200, {}, json.dumps({"model": "gpt-y", "choices": [{"message": {"content": "TWO"}, "finish_reason": "stop"}]})
+
+    from swaplens.operators import live
+
+    monkeypatch.setattr(live, "http_client", lambda name: client)
+    assert cli.main(["migrate", *args[1:]]) == 0
+    assert (home / "migration__b__to__gpt-y.json").exists() and "| exact | 2 | 2 | 0 | 0 |" in (tmp_path / "out" / "r.md").read_text()
+    assert cli.main(["report", "--corpus", str(home), "--target", "nobody-knows"]) == 2
+    assert cli.main([*args[:-1], "absent"]) == 2 and cli.main(["profiles", "--pricing-dir", str(tmp_path / "rates")]) == 0
+
+
+def test_a_second_import_keeps_the_first(spark, tmp_path):
+    import json
+
+    line = lambda k, out: json.dumps({"type": "GENERATION", "id": f"o{k}", "model": "gpt-x", "input": [{"role": "USER", "content": f"q{k}"}], "output": out})
+    for n, rows in enumerate(([line(1, "a"), line(2, "b")], [line(2, "c"), line(3, "d"), "{}"])):
+        (tmp_path / f"e{n}.jsonl").write_text("\n".join(rows))
+        assert cli.main(["import", "--input", str(tmp_path / f"e{n}.jsonl"), "--corpus", str(tmp_path / "corpus"), "--source", "langfuse"]) == 0
+    names = sorted(p.name for p in (tmp_path / "corpus").glob("*.json"))
+    assert len(names) == 3
+    said = {json.loads(json.loads(p.read_text())["chunks"][0]["data"])["choices"][0]["message"]["content"] for p in (tmp_path / "corpus").glob("*.json")}
+    assert said == {"a", "c", "d"}
+    assert cli.main(["report", "--corpus", str(tmp_path / "corpus"), "--target", "gpt-y", "--out-dir", str(tmp_path / "out"), "--strict"]) == 1
+
+
+def test_fences_widen():
+    assert report.fence("a ``` b").splitlines()[0] == "````" and report.fence("x").splitlines()[0] == "```"
+
+
+def test_recordings_of_failures_are_not_kept():
+    from swaplens import record
+
+    class Answer(list):
+        status = 503
+
+    store = record.MemoryStore()
+    with record.cassette(store, lambda r: r["url"], lambda r: iter([b"x"]) if r["url"] == "good" else Answer([b"y"])) as send:
+        assert list(send({"url": "bad"})) == [b"y"] and list(send({"url": "good"})) == [b"x"]
+    assert list(store) == ["good"] and {"recorded_at", "latency_s", "latency_first_chunk_s"} <= store["good"]["metadata"].keys()
