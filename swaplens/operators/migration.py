@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from swaplens.functions import identity, numbers, text
 
+SALTS = 16
 UNCATEGORIZED = "(uncategorized)"
 EMPTY_RESULT = "struct<comparator:string,score:double,passed:boolean,detail:string,error:string>"
 
@@ -31,9 +32,11 @@ def newest_per_key(df: DataFrame, key: str, stamp: str, row_id: str) -> DataFram
 def ignored_recordings(df: DataFrame, key: str, stamp: str, row_id: str) -> DataFrame:
     """AGG-3: one row per recording that is not the newest of its key: ``key, kept_id, ignored_id``.
 
-    A join with one winner per key; a key's recordings are never gathered."""
+    A join with one winner per key; a key's recordings are never gathered, and a hot key is spread over ``SALTS`` copies of its winner."""
     kept = newest_per_key(df.select(key, stamp, row_id), key, stamp, row_id).select(F.col(key).alias("__key"), F.col(row_id).alias("kept_id"))
-    joined = df.join(kept, F.col(key) == F.col("__key")).where(F.col(row_id) != F.col("kept_id"))
+    kept = kept.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = F.pmod(F.xxhash64(row_id), F.lit(SALTS)) == F.col("__salt")
+    joined = df.join(kept, (F.col(key) == F.col("__key")) & own).where(F.col(row_id) != F.col("kept_id"))
     return joined.select(key, "kept_id", F.col(row_id).alias("ignored_id"))
 
 

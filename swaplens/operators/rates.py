@@ -13,8 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = ("input", "cache_read", "cache_write", "output")
-#: Rates above this many rows are joined by shuffle instead of broadcast.
-SMALL = 20_000
 
 
 def intervals(snapshots: DataFrame) -> DataFrame:
@@ -26,14 +24,18 @@ def intervals(snapshots: DataFrame) -> DataFrame:
 
 
 def as_of(df: DataFrame, day: str, spans: DataFrame) -> DataFrame:
-    """Each row with the snapshot of each profile that holds on ``day``; a null day takes the newest."""
-    d = F.col(day)
-    holds = F.when(d.isNull(), F.col("valid_to").isNull()).otherwise((F.col("valid_from").isNull() | (d >= F.col("valid_from"))) & (F.col("valid_to").isNull() | (d < F.col("valid_to"))))
-    small = spans.limit(SMALL + 1).count() <= SMALL
-    days = df.select(day).distinct()
-    matched = days.join(F.broadcast(spans) if small else spans, holds)
-    right = matched.withColumnRenamed(day, "__day")
-    return df.join(right, d.eqNullSafe(F.col("__day"))).drop("__day", "valid_from", "valid_to")
+    """Each row with the snapshot of each profile that holds on ``day``; a null day takes the newest.
+
+    Only the distinct days are joined with the intervals, by month; days before the first or after the last change of all hold what
+    holds on these, so an interval has as many months as lie between."""
+    low, high = spans.agg(F.min("effective"), F.max("effective")).first()
+    at = F.least(F.greatest(F.coalesce(F.col(day), F.lit(high)), F.lit(low)), F.lit(high))
+    days = df.select(day).distinct().withColumn("__at", at).withColumn("__month", F.trunc(at, "month"))
+    months = F.sequence(F.trunc(F.coalesce("valid_from", F.lit(low)), "month"), F.trunc(F.coalesce("valid_to", F.lit(high)), "month"), F.expr("interval 1 month"))
+    held = spans.withColumn("__month", F.explode(months))
+    inside = (F.col("valid_from").isNull() | (F.col("__at") >= F.col("valid_from"))) & (F.col("valid_to").isNull() | (F.col("__at") < F.col("valid_to")))
+    matched = days.join(held, "__month").where(inside).drop("__month", "__at").withColumnRenamed(day, "__day")
+    return df.join(matched, F.col(day).eqNullSafe(F.col("__day"))).drop("__day", "valid_from", "valid_to")
 
 
 def glob_regex(pattern: str) -> str:

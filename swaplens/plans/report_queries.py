@@ -387,13 +387,13 @@ def leftovers_union(spark, sf_dir):
     return migration.union_all([rows.where("status = 'skipped'"), rows.where("status = 'error'")])
 
 
-@query("""WITH u AS (SELECT baseline_id, row_id, baseline_recorded_at AS seen FROM row_results WHERE row_id % 2 = 0 UNION ALL SELECT baseline_id, row_id + 1000000, target_recorded_at FROM row_results WHERE row_id % 3 = 0)
+@query("""WITH u AS (SELECT baseline_id, baseline_recorded_at AS seen FROM row_results UNION ALL SELECT baseline_id, target_recorded_at FROM row_results)
     SELECT baseline_id, max(seen) AS seen FROM u GROUP BY 1""")
 def upsert_latest(spark, sf_dir):
-    """SINK-2 over two halves of the table as existing and incoming rows."""
+    """SINK-2: all baseline recordings as existing rows, all target recordings as incoming ones."""
     rows = _rows(spark, sf_dir)
-    old = rows.where("row_id % 2 = 0").select("baseline_id", "row_id", F.col("baseline_recorded_at").alias("seen"))
-    new = rows.where("row_id % 3 = 0").select("baseline_id", (F.col("row_id") + 1000000).alias("row_id"), F.col("target_recorded_at").alias("seen"))
+    old = rows.select("baseline_id", "row_id", F.col("baseline_recorded_at").alias("seen"))
+    new = rows.select("baseline_id", "row_id", F.col("target_recorded_at").alias("seen"))
     return migration.upsert(old, new, "baseline_id", "seen").select("baseline_id", "seen")
 
 
@@ -538,6 +538,21 @@ def json_leaves(spark, sf_dir):
     return events.select("event_id", F.explode(leaves.leaves_of(F.col("a"))).alias("l")).select("event_id", "l.path", "l.tag")
 
 
+_NESTED_PATHS = "['event_type', 'x.k', 'x.list[0]', 'x.list[1].v', 'x.list[2]', 'x.none', 'x.empty', 'x.blank', 'ok']"
+
+
+@query(f"""WITH e AS (SELECT event_id, event_type AS t, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(floor(value) AS BIGINT) AS v FROM events)
+    SELECT event_id, unnest({_NESTED_PATHS}) AS path,
+        unnest(['s:' || t, 'n:' || k, 's:' || t, 'n:' || v, 'b:true', 'z', '{{}}', '[]', 'b:' || CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END]) AS tag FROM e WHERE k IS NOT NULL AND v IS NOT NULL""")
+def json_leaves_nested(spark, sf_dir):
+    """JSN-1: nested objects, arrays, nulls, booleans and empty containers."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    events = read_table(spark, sf_dir, "events").select("event_id", "event_type", k.alias("k"), F.floor("value").alias("v")).where("k is not null and v is not null")
+    ok = F.when(F.col("k") % 2 == 0, "true").otherwise("false")
+    body = F.concat(F.lit('{"event_type":"'), "event_type", F.lit('","x":{"k":'), "k", F.lit(',"list":["'), "event_type", F.lit('",{"v":'), "v", F.lit('},true],"none":null,"empty":{},"blank":[]},"ok":'), ok, F.lit("}"))
+    return spread(events.select("event_id", body.alias("a"))).select("event_id", F.explode(leaves.leaves_of(F.col("a"))).alias("l")).select("event_id", "l.path", "l.tag")
+
+
 _MATCHES = "CAST(a.event_type = b.event_type AS INT) + CAST(a.k = b.k AS INT) + CAST(a.v = b.v AS INT)"
 
 
@@ -621,6 +636,28 @@ def usage_normalize(spark, sf_dir):
     return rows.select("import_id", decode.normalize_usage(F.lit("openai"), F.col("usage")).alias("u")).select("import_id", "u.input", "u.output", "u.prompt_total")
 
 
+_COUNTED = "SELECT import_id, try_cast(json_extract_string(usage, '$.prompt_tokens') AS BIGINT) AS p, try_cast(json_extract_string(usage, '$.completion_tokens') AS BIGINT) AS c FROM imported_records"
+
+
+@query(f"""WITH u AS ({_COUNTED}), k AS (SELECT import_id, p, c FROM u WHERE p IS NOT NULL AND c IS NOT NULL)
+    SELECT import_id, 'openai' AS dialect, p - p // 3 AS input, p // 3 AS cache_read, CAST(NULL AS BIGINT) AS cache_write, c AS output, c // 4 AS reasoning, p AS prompt_total FROM k
+    UNION ALL SELECT import_id, 'mistral', p, NULL, NULL, c, NULL, p FROM k
+    UNION ALL SELECT import_id, 'anthropic', p, p // 3, p // 5, c, NULL, p + p // 3 + p // 5 FROM k
+    UNION ALL SELECT import_id, 'gemini', p - p // 3, p // 3, NULL, c, c // 4, p FROM k""")
+def usage_dialects(spark, sf_dir):
+    """DIA-5, AGG-19: the same counts in the shapes of all four dialects, as disjoint buckets."""
+    whole = F.from_json("usage", "prompt_tokens long, completion_tokens long")
+    rows = spread(read_table(spark, sf_dir, "imported_records").select("import_id", whole["prompt_tokens"].alias("p"), whole["completion_tokens"].alias("c"))).where("p is not null and c is not null")
+    shapes = {
+        "openai": F.struct(F.col("p").alias("prompt_tokens"), F.col("c").alias("completion_tokens"), F.expr("named_struct('cached_tokens', p div 3)").alias("prompt_tokens_details"), F.expr("named_struct('reasoning_tokens', c div 4)").alias("completion_tokens_details")),
+        "mistral": F.struct(F.col("p").alias("prompt_tokens"), F.col("c").alias("completion_tokens")),
+        "anthropic": F.struct(F.col("p").alias("input_tokens"), F.col("c").alias("output_tokens"), F.expr("p div 3").alias("cache_read_input_tokens"), F.expr("p div 5").alias("cache_creation_input_tokens")),
+        "gemini": F.struct(F.col("p").alias("promptTokenCount"), F.col("c").alias("candidatesTokenCount"), F.expr("p div 3").alias("cachedContentTokenCount"), F.expr("c div 4").alias("thoughtsTokenCount")),
+    }
+    each = rows.select("import_id", F.explode(F.array(*[F.struct(F.lit(name).alias("dialect"), F.to_json(shape).alias("usage")) for name, shape in shapes.items()])).alias("x")).select("import_id", "x.*")
+    return each.select("import_id", "dialect", decode.normalize_usage(F.col("dialect"), F.col("usage")).alias("u")).select("import_id", "dialect", "u.*")
+
+
 def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spread(read_table(spark, sf_dir, "captured_interactions").select("capture_id", "chunks", "response_headers"))
     return rows.select("capture_id", codec.decoded_body(F.col("chunks"), text.last_header(F.col("response_headers"), "content-encoding")).alias("x"), text.is_event_stream(F.col("response_headers")).alias("streamed")).select("capture_id", "x.*", "streamed")
@@ -652,12 +689,12 @@ def capture_summaries(spark, sf_dir):
 _JUDGE = "model-j"
 
 
-@query(f"""WITH v AS (SELECT DISTINCT {_sql_digest(f"'{_JUDGE}'", 'baseline_text', 'target_text')} AS d, baseline_text = target_text AS e FROM row_results WHERE status = 'ok' AND row_id % 3 = 0 AND baseline_text IS NOT NULL AND target_text IS NOT NULL)
+@query(f"""WITH v AS (SELECT DISTINCT {_sql_digest(f"'{_JUDGE}'", 'baseline_text', 'target_text')} AS d, baseline_text = target_text AS e FROM row_results WHERE status = 'ok' AND cached AND baseline_text IS NOT NULL AND target_text IS NOT NULL)
     SELECT row_id, v.d IS NOT NULL AS recorded, v.e AS equivalent FROM (SELECT row_id, {_sql_digest(f"'{_JUDGE}'", 'baseline_text', 'target_text')} AS d FROM row_results WHERE status = 'ok') r LEFT JOIN v ON r.d = v.d""")
 def judge_cached(spark, sf_dir):
-    """JOIN-3, SINK-5, ID-10: verdicts kept for a third of the rows and looked up for all."""
-    rows = _ok(spark, sf_dir).select("row_id", "baseline_text", "target_text")
-    answered = rows.where("row_id % 3 = 0 and baseline_text is not null and target_text is not null").withColumn("equivalent", F.col("baseline_text") == F.col("target_text")).withColumn("score", F.lit(None).cast("double"))
+    """JOIN-3, SINK-5, ID-10: verdicts kept of the rows whose target was cached and looked up for all."""
+    rows = _ok(spark, sf_dir).select("row_id", "cached", "baseline_text", "target_text")
+    answered = rows.where("cached and baseline_text is not null and target_text is not null").withColumn("equivalent", F.col("baseline_text") == F.col("target_text")).withColumn("score", F.lit(None).cast("double"))
     kept = migration.verdict_rows(answered, _JUDGE)
     return migration.with_verdict(rows, kept, _JUDGE, "v").select("row_id", F.col("v").isNotNull().alias("recorded"), F.col("v.equivalent").alias("equivalent"))
 

@@ -17,35 +17,54 @@ def stream_table(spark: SparkSession, folder: str, schema: T.StructType, files_p
     return reader.parquet(folder)
 
 
-def keep_newest(stream: DataFrame, key: str, version: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Upserts every micro-batch by key into generations under ``path``.
+def keep_newest(stream: DataFrame, key: str, version: str, path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Upserts every micro-batch by key into ``path/generation=<batch>/bucket=<hash of the key>``.
 
-    A batch writes ``generation=<batch id>`` from the one before it and the new rows, so a batch that is
-    repeated after a failure overwrites its own generation: exactly once. Readers take the newest generation."""
+    A batch rewrites only the buckets that it touches, from their newest state before it, so one that is repeated after a
+    failure overwrites its own generation: exactly once. States that no repetition can need are removed."""
     from swaplens.operators.migration import upsert
 
+    own = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        known = [g for g in generations(spark, path) if g < number]
-        rows = batch if not known else upsert(spark.read.parquet(f"{path}/generation={max(known)}"), batch, key, version)
-        upsert(rows.limit(0), rows, key, version).write.mode("overwrite").parquet(f"{path}/generation={number}")
+        touched = {r[0] for r in batch.select(own).distinct().collect()}
+        if not touched:
+            return
+        before = states(spark, path, number)
+        known = [before[b][-1] for b in touched if b in before]
+        old = spark.read.schema(batch.schema).parquet(*known) if known else batch.limit(0)
+        upsert(old, batch, key, version).withColumn("bucket", own).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/generation={number}")
+        fs, jvm = _files(spark, path)
+        for bucket in touched & before.keys():
+            for folder in before[bucket][:-1]:
+                fs.delete(jvm.org.apache.hadoop.fs.Path(folder), True)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def generations(spark: SparkSession, path: str) -> list[int]:
-    """Complete generations below ``path``, oldest first."""
+def _files(spark: SparkSession, path: str) -> tuple:
     jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return sorted(int(n.split("=")[1]) for n in names if n.startswith("generation="))
+    return jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm
+
+
+def states(spark: SparkSession, path: str, below: int | None = None) -> dict[int, list[str]]:
+    """The folders of every bucket in complete generations (before ``below``), oldest first."""
+    fs, jvm = _files(spark, path)
+    if not fs.exists(jvm.org.apache.hadoop.fs.Path(path)):
+        return {}
+    found: dict[int, list[str]] = {}
+    names = sorted(((int(s.getPath().getName().split("=")[1]), s.getPath()) for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(path)) if s.getPath().getName().startswith("generation=")), key=lambda x: x[0])
+    for number, folder in names:
+        if (below is None or number < below) and fs.exists(jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
+            for s in fs.listStatus(folder):
+                if (name := s.getPath().getName()).startswith("bucket="):
+                    found.setdefault(int(name.split("=")[1]), []).append(s.getPath().toString())
+    return found
 
 
 def newest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/generation={max(generations(spark, path))}")
+    return spark.read.parquet(*[folders[-1] for folders in states(spark, path).values()])
 
 
 def record_once(stream: DataFrame, key: str, stamp: str, late: str = "1 day") -> DataFrame:
