@@ -107,8 +107,8 @@ def ending_contexts(df: DataFrame, text: str, facts: DataFrame) -> DataFrame:
     how often it goes on, with another word or as a longer word. Copies of a text count once, as they tell nothing new, but for texts
     short enough to be labels.
 
-    Words are counted by context before anything else, of those that some open ending shares the first word and letter with; each
-    counted word then stands for itself and all its beginnings."""
+    Words are counted by context before anything is shuffled; of the counts, those that share the first word and letter with some
+    open ending then stand for themselves and all their beginnings."""
     wanted = facts.where("state = 'open' and last <> ''").select("before", "last").distinct()
     texts = df.select(F.col(text).alias("t")).where("t is not null").groupBy("t").agg(F.count(F.lit(1)).alias("copies"))
     texts = texts.withColumn("copies", F.when(F.length("t") <= 40, F.col("copies")).otherwise(1))
@@ -121,8 +121,8 @@ def ending_contexts(df: DataFrame, text: str, facts: DataFrame) -> DataFrame:
     spans = lines.select("copies", F.concat(F.array(start), words).alias("w")).where(F.size("w") > 1)
     pairs = spans.select("copies", F.posexplode(F.slice("w", 2, 1 << 30)).alias("k", "last"), "w").select("copies", F.element_at("w", F.col("k") + 1).alias("before"), "last", (F.col("k") + 2 == F.size("w")).alias("end"))
     begins = wanted.select("before", F.left("last", F.lit(1)).alias("first")).distinct()
-    pairs = pairs.where(F.length("last") <= WORD).withColumn("first", F.left("last", F.lit(1))).join(begins, ["before", "first"], "left_semi")
-    counted = pairs.groupBy("before", "last").agg(F.sum(F.when(F.col("end"), F.col("copies")).otherwise(0)).alias("e"), F.sum("copies").alias("all"))
+    counted = pairs.where(F.length("last") <= WORD).groupBy("before", "last").agg(F.sum(F.when(F.col("end"), F.col("copies")).otherwise(0)).alias("e"), F.sum("copies").alias("all"))
+    counted = counted.withColumn("first", F.left("last", F.lit(1))).join(begins, ["before", "first"], "left_semi")
     sizes = F.sequence(F.lit(1), F.length("last"))
     begun = counted.select("before", F.explode(F.transform(sizes, lambda k: F.struct(F.substring(F.col("last"), F.lit(1), k).alias("last"), (k == F.length("last")).alias("whole")))).alias("x"), "e", "all").select("before", "x.*", "e", "all")
     ends = F.when(F.col("whole"), F.col("e")).otherwise(0)
